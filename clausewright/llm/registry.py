@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, quality, sharding, warc
-from .common import arrow_map, table
+from . import bpe, decontaminate, langid, licenses, minhash, quality, sharding, warc
+from .common import table
 
 SHARDS = 40
 
@@ -53,7 +53,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number(placed, ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_license_scan, op6_byte_bpe, op7_decontaminate, op8_warc_derivatives, op9_sharding)}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=0.8).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_license_scan, op6_byte_bpe, op7_decontaminate, op8_warc_derivatives, op9_sharding, op10_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": r"""
@@ -90,4 +94,17 @@ y AS (SELECT doc_id, t, k, xor(4294967295, list_reduce(list_prepend(4294967295,
 SELECT doc_id, strlen(t) + 16 AS size, crc AS text_crc32, 'key' AS law, a.shard,
   row_number() OVER (PARTITION BY a.shard ORDER BY CAST('0x' || substr(md5(y.k), 1, 6) AS BIGINT) % {sharding.SLOT_PARTS}, doc_id NULLS FIRST, crc, strlen(t)) - 1 AS slot, b.grown_shard
 FROM y JOIN a ON a.k = y.k JOIN b ON b.k = y.k""",
+    "op10_minhash_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM d WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+f AS (SELECT g, count(*) AS df FROM g GROUP BY g),
+p AS (SELECT g.doc_id, g.g, n.n, row_number() OVER (PARTITION BY g.doc_id ORDER BY df, g.g) AS r FROM g JOIN f ON f.g = g.g JOIN n ON n.doc_id = g.doc_id),
+q AS (SELECT doc_id, g, n FROM p WHERE r <= n // 5 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM q a JOIN q b ON a.g = b.g AND a.doc_id < b.doc_id),
+l AS (SELECT c.a, c.b FROM c JOIN g x ON x.doc_id = c.a JOIN g y ON y.doc_id = c.b AND y.g = x.g GROUP BY c.a, c.b, c.na, c.nb HAVING 100 * count(*) >= 80 * (c.na + c.nb - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+m AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
 }
