@@ -66,7 +66,8 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = CHUNK_BYTES) -
     """Cut a batch so that the texts of a part hold about `most` bytes (one longer text makes a part of its own)."""
     if batch.num_rows == 0:
         return
-    col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_string())
+    col = batch.column(batch.schema.get_field_index(name))
+    col = col.cast(pa.large_binary() if pa.types.is_binary(col.type) else pa.large_string())
     ends = np.frombuffer(col.buffers()[1], dtype=np.int64, count=len(col) + 1, offset=8 * col.offset)
     part = (ends[:-1] - ends[0]) // most
     cuts = np.flatnonzero(np.diff(part)) + 1

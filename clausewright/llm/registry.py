@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, minhash, quality, sharding, warc
+from . import bpe, decontaminate, langid, licenses, minhash, quality, sharding, suffix_dedup, warc
 from .common import table
 
 SHARDS = 40
@@ -31,6 +31,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), least=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +62,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=0.8).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_license_scan, op6_byte_bpe, op7_decontaminate, op8_warc_derivatives, op9_sharding, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_license_scan, op5_suffix_dedup, op6_byte_bpe, op7_decontaminate, op8_warc_derivatives, op9_sharding, op10_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": r"""
