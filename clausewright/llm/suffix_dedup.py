@@ -10,8 +10,8 @@ if it also starts earlier, in the order of key, text hash and place (the first c
    string, and dealt by anchor.  Per block a suffix array of all starts is built by prefix doubling up to `least` bytes; the
    previous and next smaller positions in suffix order are the nearest earlier matches, and LPF >= least holds where one of them
    agrees in `least` bytes.  Positions follow the global order of the regions' first occurrences, so an earlier position is an earlier copy.
-3. An anchor with more than GROUP different regions (a passage in that many surroundings) isn't gathered: its windows' 128-bit
-   fingerprints are counted by Spark instead, which decides the same question exactly and spreads over all tasks.
+3. An anchor with more than GROUP different regions (a passage in that many surroundings) isn't gathered: hashes of cells of CELL
+   windows, then of the single windows at passages' edges, are counted by Spark, which decides the same question and spreads over all tasks.
 4. Spans return to their documents; a document's spans are merged and cut out.
 
 Null texts are empty; texts under `least` bytes are never touched; rows that agree in key and text count as copies of each other, and with keep_first share what is
@@ -33,6 +33,8 @@ from .common import arrow_map, durable, mix64, text_bytes
 LEAST = 400
 #: Different regions of an anchor that meet in one task.
 GROUP = 256
+#: Windows that are first taken together where an anchor has more regions than that.
+CELL = 8
 #: Bytes of one suffix array, about.
 BLOCK = 2 << 20
 #: Bytes of a text whose anchors are found at once; window starts are divided, so nothing is lost at the cuts.
@@ -225,25 +227,48 @@ def _settle(df: DataFrame, least: int, keep_first: bool) -> DataFrame:
 
 
 def _settle_large(df: DataFrame, least: int, keep_first: bool) -> DataFrame:
-    """The same for anchors with very many regions: windows are matched by 128-bit fingerprints, in Spark."""
+    """The same for anchors with very many regions, in Spark.  Windows are first taken CELL at a time, by their places relative to the
+    anchor: all windows of a cell hold its core, so a cell whose core no other region has is done, and equal cells are settled by their count.  Only the windows of
+    different cells with equal cores (those at the edges of a passage) are then matched one by one, by 128-bit fingerprints."""
+    kind = df.schema["key"].dataType.simpleString()
     rows = df.select("ah", "rh", "key", "text_hash", "s0", "off", "region")
 
-    def run(batch: pa.RecordBatch) -> dict:
-        out: dict = {c: [] for c in ("ah", "rh", "key", "text_hash", "s0", "at", "place", "print")}
+    def divide(batch: pa.RecordBatch) -> dict:
+        out: dict = {c: [] for c in ("ah", "rh", "key", "text_hash", "s0", "first", "last", "cell", "core", "whole")}
         for ah, rh, key, th, s0, off, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for i in range(len(raw) - least + 1):
+            last = len(raw) - least
+            for cell in range((off - last) // CELL, off // CELL + 1):  # a window at i has place off - i
+                x, y = max(0, off - (cell + 1) * CELL + 1), min(last, off - cell * CELL)
+                core = raw[off - cell * CELL : off - (cell + 1) * CELL + 1 + least]
+                for c, v in zip(out, (ah, rh, key, th, s0, x, y, cell, xxhash.xxh3_64_intdigest(core) - (1 << 63), xxhash.xxh3_128_digest(raw[x : y + least], off - x)), strict=True):
+                    out[c].append(v)
+        return out
+
+    cells = durable(arrow_map(rows, divide, f"ah long, rh long, key {kind}, text_hash long, s0 long, first long, last long, cell long, core long, whole binary", text="region"), "cells")
+    same = ["ah", "cell", "core"]
+    kinds = cells.groupBy(*same, "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "s0", "first", "last", "rh")).alias("one"))
+    kinds = durable(kinds.join(kinds.groupBy(*same).agg(F.count("*").alias("d"), F.sum("n").alias("of")).where("of > 1"), same), "cellkinds")
+    equal = cells.join(kinds.where("n > 1").select(*same, "whole", "one"), [*same, "whole"])
+    if keep_first:
+        equal = equal.where(~F.struct("key", "text_hash", "s0", "first", "last", "rh").eqNullSafe(F.col("one")))
+    edge = kinds.where("d > 1").select("ah", F.col("one.rh").alias("rh"), F.col("one.first").alias("first"), F.col("one.last").alias("last"))
+    at_edge = rows.join(edge, ["ah", "rh"]).select(*rows.columns, "first", "last")
+
+    def single(batch: pa.RecordBatch) -> dict:
+        out: dict = {c: [] for c in ("ah", "rh", "key", "text_hash", "s0", "at", "place", "print")}
+        for ah, rh, key, th, s0, off, raw, first, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i in range(first, last + 1):
                 for c, v in zip(out, (ah, rh, key, th, s0, i, off - i, xxhash.xxh3_128_digest(raw[i : i + least])), strict=True):
                     out[c].append(v)
         return out
 
-    kind = rows.schema["key"].dataType.simpleString()
-    windows = durable(arrow_map(rows, run, f"ah long, rh long, key {kind}, text_hash long, s0 long, at long, place long, print binary", text="region"), "windows")
-    same = ["ah", "place", "print"]
-    count = windows.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "s0", "at")).alias("one")).where("n > 1")
-    hit = windows.join(count, same)
+    windows = durable(arrow_map(at_edge, single, f"ah long, rh long, key {kind}, text_hash long, s0 long, at long, place long, print binary", text="region"), "windows")
+    alike = ["ah", "place", "print"]
+    count = windows.groupBy(*alike).agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "s0", "at")).alias("one")).where("n > 1")
+    hit = windows.join(count, alike)
     if keep_first:
         hit = hit.where(~F.struct("key", "text_hash", "s0", "at").eqNullSafe(F.col("one")))
-    return hit.select("ah", "rh", F.col("at").alias("first"), F.col("at").alias("last"))
+    return equal.select("ah", "rh", "first", "last").unionByName(hit.select("ah", "rh", F.col("at").alias("first"), F.col("at").alias("last")))
 
 
 def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False) -> DataFrame:
