@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, minhash, quality, sharding, suffix_dedup, warc
+from . import bpe, decontaminate, langid, licenses, lm_score, minhash, quality, sharding, suffix_dedup, warc
 from .common import table
 
 SHARDS = 40
@@ -26,6 +26,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(table(spark, sf_dir, "documents"), order=3, alpha=0.4, least=2)
+    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("perplexity", 4).alias("perplexity"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = licenses.scan(table(spark, sf_dir, "documents"))
     return seen.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -62,7 +67,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=0.8).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op4_license_scan, op5_suffix_dedup, op6_byte_bpe, op7_decontaminate, op8_warc_derivatives, op9_sharding, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_lm_score, op4_license_scan, op5_suffix_dedup, op6_byte_bpe, op7_decontaminate, op8_warc_derivatives, op9_sharding, op10_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": r"""
@@ -112,4 +117,14 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
 m AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op3_lm_score": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
+g AS (SELECT doc_id, i, w AS w1, lag(w) OVER o AS w2, lag(w, 2) OVER o AS w3 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, count(*) OVER (PARTITION BY w1) AS c1, count(*) OVER (PARTITION BY w2, w1) AS c2, count(*) OVER (PARTITION BY w3, w2, w1) AS c3 FROM g),
+x AS (SELECT *, lag(c1) OVER o AS b1, lag(c2) OVER o AS b2, (SELECT count(*) FROM p) AS n FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, CASE WHEN i >= 2 AND c3 >= 2 THEN log10(c3 / b2) WHEN i >= 1 AND c2 >= 2 THEN log10(c2 / b1) + log10(0.4) * least(1, i - 1)
+  ELSE log10(c1 / n) + log10(0.4) * least(2, i) END AS s FROM x),
+t AS (SELECT doc_id, count(*) AS n_words, sum(s) AS score FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(score, 0.0), 4) AS score, round(pow(10, -score / n_words), 4) AS perplexity FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",
 }
