@@ -6,8 +6,9 @@ count of that n-gram without its last word, times `alpha` for each order given u
 the sum of log10 over its words; perplexity is 10 ** (-score / words).
 
 The relations are held in packed blocks, so that a row isn't needed for each n-gram of each document:
-1. Documents are dealt into batches of about BATCH bytes; a batch explodes into its distinct n-grams (64-bit hashes) with
-   counts, cut by hash into parts: one row for each (part, batch).  A frequent n-gram is sent once for each batch.
+1. Documents are dealt into batches of about BATCH bytes; a batch explodes into its distinct n-grams (64-bit hashes) of orders 1 and 2 with
+   counts, cut by hash into parts: one row for each (part, batch).  A frequent n-gram is sent once for each batch.  Of each longer order only
+   n-grams are sent whose two shorter parts reach `least`: the others can't, so nothing is lost.
 2. The count table is partitioned by hash: a part's rows meet, are summed, and each batch's n-grams are joined to the sums.
    A batch gets back one number for each n-gram that it sent, in the order it sent them.
 3. The batch explodes again (its documents come from the same exchange), looks up its n-grams and sums by document.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, mix64, pick, text_bytes
 
-ORDER, ALPHA, LEAST = 3, 0.4, 2
+ORDER, ALPHA, LEAST = 3, 0.4, 2  # an order of 2 or more
 #: Bytes of text in a batch, about, and parts of the count table for each batch.
 BATCH, PARTS = 16 << 20, 2
 
@@ -60,11 +61,11 @@ def grams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, list[np.nd
 
 
 def _distinct(hashes: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams ordered by part and hash, how often each occurs, and where each part begins."""
+    """Distinct n-grams ordered by part and hash, how often each occurs, and where each part begins.  A hash is part + parts * rest."""
     found, count = np.unique(np.concatenate(hashes), return_counts=True)
     if len(found) and found[0] == 0:
         found, count = found[1:], count[1:]
-    part = (found >> np.uint64(1)) % np.uint64(parts)
+    part = found % np.uint64(parts)
     order = np.argsort(part, kind="stable")
     return found[order], count[order], np.searchsorted(part[order], np.arange(parts + 1))
 
@@ -78,16 +79,63 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def _ask(group: pa.Table, parts: int, order: int) -> pa.Table:
-    """A batch's distinct n-grams and counts, a row for each part."""
-    found, count, cuts = _distinct(grams(_texts(group), order)[1], parts)
+def _rows(batch: int, found: np.ndarray, count: np.ndarray, cuts: np.ndarray) -> pa.Table:
+    """Distinct n-grams and counts, a row for each part; within a part only the rest of a hash is sent, as steps."""
+    parts = len(cuts) - 1
     rows = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-    batch = group["batch"][0].as_py()
-    grams_ = [_planes(np.diff(found[cuts[p] : cuts[p + 1]], prepend=np.uint64(0))) for p in rows]
-    return pa.table({"part": pa.array(rows, pa.int32()), "batch": pa.array([batch] * len(rows), pa.int32()), "grams": pa.array(grams_, pa.binary()), "counts": pa.array([_planes(count[cuts[p] : cuts[p + 1]]) for p in rows], pa.binary())})
+    steps = [_planes(np.diff(found[cuts[p] : cuts[p + 1]] // np.uint64(parts), prepend=np.uint64(0))) for p in rows]
+    return pa.table({"part": pa.array(rows, pa.int32()), "batch": pa.array([batch] * len(rows), pa.int32()), "grams": pa.array(steps, pa.binary()), "counts": pa.array([_planes(count[cuts[p] : cuts[p + 1]]) for p in rows], pa.binary())})
 
 
-def _answer(group: pa.Table) -> pa.Table:
+def _ask(group: pa.Table, parts: int) -> pa.Table:
+    """A batch's n-grams of orders 1 and 2."""
+    return _rows(group["batch"][0].as_py(), *_distinct(grams(_texts(group), 2)[1], parts))
+
+
+class Counts:
+    """Corpus counts of a batch's n-grams, from the answers to one question."""
+
+    def __init__(self, hashes: list[np.ndarray], answers: pa.Table, number: int, parts: int):
+        found, _, _ = _distinct(hashes, parts)
+        by = {p: t for p, t, n in zip(*(answers[c].to_pylist() for c in ("part", "totals", "question")), strict=True) if n == number}
+        total = np.concatenate([np.zeros(0, np.uint64), *[_numbers(by[p]) for p in sorted(by)]])
+        order = np.argsort(found, kind="stable")
+        self.found, self.total = found[order], total[order].astype(np.float64)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.found):
+            return np.zeros(len(h))
+        at = np.searchsorted(self.found, h).clip(0, len(self.found) - 1)
+        return np.where((h > 0) & (self.found[at] == h), self.total[at], 0)
+
+
+def _longer(hashes: list[np.ndarray], counts: list[np.ndarray], n: int, least: int) -> np.ndarray:
+    """The n-grams of order n whose two parts of order n - 1 both reach `least`; no others can."""
+    ok = counts[n - 2] >= least
+    ok[1:] &= counts[n - 2][:-1] >= least
+    return np.where(ok, hashes[n - 1], 0).astype(np.uint64)
+
+
+def _ask_longer(docs: pa.Table, answers: pa.Table, parts: int, n: int, least: int) -> pa.Table:
+    """A batch's n-grams of order n that may reach `least`, given what was answered for the orders below."""
+    if not docs.num_rows:
+        return _rows(0, *_distinct([np.zeros(0, np.uint64)], parts))
+    hashes, counts = _known(docs, answers, parts, n, n - 1, least)
+    return _rows(docs["batch"][0].as_py(), *_distinct([_longer(hashes, counts, n, least)], parts))
+
+
+def _known(docs: pa.Table, answers: pa.Table, parts: int, orders: int, counted: int, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the orders up to `orders` that end at each word, and counts of those up to `counted`."""
+    hashes = grams(_texts(docs), orders)[1]
+    both = Counts(hashes[:2], answers, 2, parts)
+    counts = [both.of(h) for h in hashes[:2]]
+    for k in range(3, counted + 1):
+        own = _longer(hashes, counts, k, least)
+        counts.append(Counts([own], answers, k, parts).of(own))
+    return hashes, counts
+
+
+def _answer(group: pa.Table, number: int) -> pa.Table:
     """Corpus counts of each batch's n-grams in one part of the count table."""
     asked = [np.cumsum(_numbers(x), dtype=np.uint64) for x in group["grams"].to_pylist()]
     counts = np.concatenate([_numbers(x) for x in group["counts"].to_pylist()])
@@ -95,7 +143,15 @@ def _answer(group: pa.Table) -> pa.Table:
     total = np.zeros(int(inverse.max()) + 1, np.uint64)
     np.add.at(total, inverse, counts)
     answer = np.split(total[inverse], np.cumsum([len(x) for x in asked])[:-1])
-    return pa.table({"batch": group["batch"].cast(pa.int32()), "part": group["part"].cast(pa.int32()), "totals": pa.array([_planes(x) for x in answer], pa.binary())})
+    return pa.table({"batch": group["batch"].cast(pa.int32()), "part": group["part"].cast(pa.int32()), "question": pa.array([number] * len(asked), pa.int32()), "totals": pa.array([_planes(x) for x in answer], pa.binary())})
+
+
+def _asking(parts: int, n: int, least: int):
+    return lambda docs, answers: _ask_longer(docs, answers, parts, n, least)
+
+
+def _answering(number: int):
+    return lambda group: _answer(group, number)
 
 
 def _texts(group: pa.Table) -> list[bytes | None]:
@@ -103,17 +159,8 @@ def _texts(group: pa.Table) -> list[bytes | None]:
 
 
 def _score(docs: pa.Table, answers: pa.Table, parts: int, order: int, alpha: float, least: int, n: int) -> pa.Table:
-    size, hashes = grams(_texts(docs), order)
-    found, _, _ = _distinct(hashes, parts)
-    by = dict(zip(answers["part"].to_pylist(), answers["totals"].to_pylist(), strict=True))
-    total = np.concatenate([np.zeros(0, np.uint64), *[_numbers(by[p]) for p in sorted(by)]]).astype(np.float64)
-    rank = np.argsort(found, kind="stable")
-    ordered = found[rank]
-
-    def count(h: np.ndarray) -> np.ndarray:
-        return np.where(h > 0, total[rank[np.searchsorted(ordered, h).clip(0, max(0, len(ordered) - 1))]], 0) if len(ordered) else np.zeros(len(h))
-
-    counts = [count(h) for h in hashes]
+    size, _ = grams(_texts(docs), 1)
+    _, counts = _known(docs, answers, parts, order, order, least)
     log = np.log10(np.maximum(counts[0], 1) / max(n, 1)) + (order - 1) * np.log10(alpha)
     place = np.arange(len(log)) - np.repeat(np.cumsum(size) - size, size)
     # words near a text's beginning have fewer orders to give up
@@ -141,7 +188,11 @@ def score(df: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int =
     batches = int((sums["bytes"] or 0) // BATCH) + 1
     parts, n = PARTS * batches, int(sums["words"] or 0)
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches)).cast("int"))
-    asked = dealt.groupBy("batch").applyInArrow(lambda t: _ask(t, parts, order), "part int, batch int, grams binary, counts binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "batch int, part int, totals binary")
+    asked_kind, answer_kind = "part int, batch int, grams binary, counts binary", "batch int, part int, question int, totals binary"
+    asked = dealt.groupBy("batch").applyInArrow(lambda t: _ask(t, parts), asked_kind)
+    answers = asked.groupBy("part").applyInArrow(_answering(2), answer_kind)
+    for k in range(3, order + 1):
+        more = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_asking(parts, k, least), asked_kind)
+        answers = answers.unionByName(more.groupBy("part").applyInArrow(_answering(k), answer_kind))
     scored = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(lambda d, a: _score(d, a, parts, order, alpha, least, n), f"key {kind}, n_words long, score double, perplexity double")
     return scored.withColumnRenamed("key", key)
