@@ -29,7 +29,7 @@ from .common import arrow_map, mix64, pick, text_bytes
 
 ORDER, ALPHA, LEAST = 3, 0.4, 2  # an order of 2 or more
 #: Bytes of text in a batch, about, and parts of the count table for each batch.
-BATCH, PARTS = 16 << 20, 2
+BATCH, PARTS = 12 << 20, 2
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -120,19 +120,25 @@ def _ask_longer(docs: pa.Table, answers: pa.Table, parts: int, n: int, least: in
     """A batch's n-grams of order n that may reach `least`, given what was answered for the orders below."""
     if not docs.num_rows:
         return _rows(0, *_distinct([np.zeros(0, np.uint64)], parts))
-    hashes, counts = _known(docs, answers, parts, n, n - 1, least)
+    _, hashes, counts = _known(docs, answers, parts, n, n - 1, least)
     return _rows(docs["batch"][0].as_py(), *_distinct([_longer(hashes, counts, n, least)], parts))
 
 
-def _known(docs: pa.Table, answers: pa.Table, parts: int, orders: int, counted: int, least: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Hashes of the orders up to `orders` that end at each word, and counts of those up to `counted`."""
-    hashes = grams(_texts(docs), orders)[1]
+def _known(docs: pa.Table, answers: pa.Table, parts: int, orders: int, counted: int, least: int) -> tuple[np.ndarray, list[np.ndarray | None], list[np.ndarray]]:
+    """Words of each text, hashes of the orders above `counted` up to `orders` that end at each word, and counts of the others.  Hashes
+    are let go as soon as they are counted."""
+    size, hashes = grams(_texts(docs), orders)
     both = Counts(hashes[:2], answers, 2, parts)
-    counts = [both.of(h) for h in hashes[:2]]
+    counts = []
+    for k in range(2):
+        counts.append(both.of(hashes[k]))
+        hashes[k] = None
+    del both
     for k in range(3, counted + 1):
         own = _longer(hashes, counts, k, least)
+        hashes[k - 1] = None
         counts.append(Counts([own], answers, k, parts).of(own))
-    return hashes, counts
+    return size, hashes, counts
 
 
 def _answer(group: pa.Table, number: int) -> pa.Table:
@@ -159,8 +165,7 @@ def _texts(group: pa.Table) -> list[bytes | None]:
 
 
 def _score(docs: pa.Table, answers: pa.Table, parts: int, order: int, alpha: float, least: int, n: int) -> pa.Table:
-    size, _ = grams(_texts(docs), 1)
-    _, counts = _known(docs, answers, parts, order, order, least)
+    size, _, counts = _known(docs, answers, parts, order, order, least)
     log = np.log10(np.maximum(counts[0], 1) / max(n, 1)) + (order - 1) * np.log10(alpha)
     place = np.arange(len(log)) - np.repeat(np.cumsum(size) - size, size)
     # words near a text's beginning have fewer orders to give up
@@ -172,9 +177,8 @@ def _score(docs: pa.Table, answers: pa.Table, parts: int, order: int, alpha: flo
         with np.errstate(divide="ignore", invalid="ignore"):
             given = np.log10(counts[k - 1] / context) + np.log10(alpha) * np.maximum(0, np.minimum(order - 1, place) - (k - 1))
         log = np.where(use, given, log)
-    upto = np.concatenate([[0.0], np.cumsum(log)])
     ends = np.cumsum(size)
-    score = np.array([log[x:y].sum() for x, y in zip((ends - size).tolist(), ends.tolist(), strict=True)]) if len(size) else upto[:0]
+    score = np.array([log[x:y].sum() for x, y in zip((ends - size).tolist(), ends.tolist(), strict=True)], np.float64)
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         perplexity = np.where(size > 0, 10 ** (-score / np.maximum(size, 1)), np.nan)
     return pa.table({"key": docs["key"], "n_words": size, "score": score.astype(np.float64), "perplexity": pa.array(perplexity, pa.float64(), mask=size == 0)})
