@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from .common import arrow_map, mix64, pick, text_bytes
 
 #: Pieces remembered by a worker; beyond it the memory starts anew.  Longer pieces aren't remembered.
-CACHE_PIECES, CACHE_LENGTH = 400_000, 48
+CACHE_PIECES, CACHE_LENGTH = 150_000, 48
+#: Bytes of text that are cut and matched at once; the arrays over their characters take some 60 times as much.
+TEXT_BYTES = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -211,7 +213,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
         return {"key": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids} | ({"offsets": [c.offsets(x)[:-1] for x in ids]} if offsets else {})
 
     rows = pick(df, key=key, text=text)
-    return arrow_map(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary" + ", offsets array<long>" * offsets).withColumnRenamed("key", key)
+    return arrow_map(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary" + ", offsets array<long>" * offsets, most=TEXT_BYTES).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -75,7 +75,7 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = CHUNK_BYTES) -
         yield batch.slice(a, b - a)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType | str, text: str | None = "text") -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType | str, text: str | None = "text", most: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow with a function from one bounded batch to columns; the schema names and types them."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -84,7 +84,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text) if text else [whole]:
+            for batch in slices(whole, text, most) if text else [whole]:
                 if batch.num_rows and (out := fn(batch)) is not None:
                     yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
