@@ -35,10 +35,12 @@ LEAST = 400
 GROUP = 256
 #: Windows that are first taken together where an anchor has more regions than that.
 CELL = 8
-#: Bytes of one suffix array, about.
-BLOCK = 2 << 20
+#: Bytes of one suffix array, about; the arrays made for it take some hundred times as much.
+BLOCK = 1 << 19
 #: Bytes of a text whose anchors are found at once; window starts are divided, so nothing is lost at the cuts.
-PIECE = 2 << 20
+PIECE = 3 << 18
+#: Bytes of regions that are divided into cells or windows at once.
+CELLS_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _CODE = mix64(np.arange(1, 257, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15
@@ -244,7 +246,7 @@ def _settle_large(df: DataFrame, least: int, keep_first: bool) -> DataFrame:
                     out[c].append(v)
         return out
 
-    cells = durable(arrow_map(rows, divide, f"ah long, rh long, key {kind}, text_hash long, s0 long, first long, last long, cell long, core long, whole binary", text="region"), "cells")
+    cells = durable(arrow_map(rows, divide, f"ah long, rh long, key {kind}, text_hash long, s0 long, first long, last long, cell long, core long, whole binary", text="region", most=CELLS_BYTES), "cells")
     same = ["ah", "cell", "core"]
     kinds = cells.groupBy(*same, "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "s0", "first", "last", "rh")).alias("one"))
     kinds = durable(kinds.join(kinds.groupBy(*same).agg(F.count("*").alias("d"), F.sum("n").alias("of")).where("of > 1"), same), "cellkinds")
@@ -262,7 +264,7 @@ def _settle_large(df: DataFrame, least: int, keep_first: bool) -> DataFrame:
                     out[c].append(v)
         return out
 
-    windows = durable(arrow_map(at_edge, single, f"ah long, rh long, key {kind}, text_hash long, s0 long, at long, place long, print binary", text="region"), "windows")
+    windows = durable(arrow_map(at_edge, single, f"ah long, rh long, key {kind}, text_hash long, s0 long, at long, place long, print binary", text="region", most=CELLS_BYTES), "windows")
     alike = ["ah", "place", "print"]
     count = windows.groupBy(*alike).agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "s0", "at")).alias("one")).where("n > 1")
     hit = windows.join(count, alike)
@@ -292,14 +294,14 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False) -> Data
     found = _settle(fetched.where(F.col("d") <= GROUP), least, keep_first)
     if fetched.where(F.col("d") > GROUP).limit(1).count():
         found = found.unionByName(_settle_large(fetched.where(F.col("d") > GROUP), least, keep_first))
-    parts = found.groupBy("ah", "rh").agg(F.collect_set(F.struct("first", "last")).alias("parts"))
-    settled = durable(kinds.join(parts, ["ah", "rh"], "left").where("n > 1 OR parts IS NOT NULL").select("ah", "rh", "n", F.struct("one.key", "one.text_hash", "one.s0").alias("one"), "parts"), "settled")
+    # a region's windows all hold its anchor, so those that repeat cover one run of bytes: the first and last of them say it all
+    parts = found.groupBy("ah", "rh").agg(F.min("first").alias("p0"), F.max("last").alias("p1"))
+    settled = durable(kinds.join(parts, ["ah", "rh"], "left").where("n > 1 OR p0 IS NOT NULL").select("ah", "rh", "n", F.struct("one.key", "one.text_hash", "one.s0").alias("one"), "p0", "p1"), "settled")
     here = seen.select("key", "text_hash", "s0", "s1", "ah", "rh").join(settled, ["ah", "rh"])
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("s1") - F.col("s0")).alias("last")))
-    is_first = F.struct("key", "text_hash", "s0").eqNullSafe(F.col("one"))
-    chosen = F.when(is_first, F.col("parts")).otherwise(whole) if keep_first else F.when(F.col("n") > 1, whole).otherwise(F.col("parts"))
-    bytes_ = here.select("key", "text_hash", F.transform(chosen, lambda p: F.struct((F.col("s0") + p["first"]).alias("start"), (F.col("s0") + p["last"] + least).alias("stop"))).alias("spans")).where("spans IS NOT NULL")
-    return bytes_.groupBy("key", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    in_part = F.struct("key", "text_hash", "s0").eqNullSafe(F.col("one")) if keep_first else F.col("n") == 1
+    first, last = F.when(in_part, F.col("p0")).otherwise(0), F.when(in_part, F.col("p1")).otherwise(F.col("s1") - F.col("s0"))
+    bytes_ = here.select("key", "text_hash", first.alias("first"), F.struct((F.col("s0") + first).alias("start"), (F.col("s0") + last + least).alias("stop")).alias("spans")).where("first IS NOT NULL")
+    return bytes_.groupBy("key", "text_hash").agg(F.collect_list("spans").alias("spans"))
 
 
 def merged(own: list[dict] | None) -> list[tuple[int, int]]:

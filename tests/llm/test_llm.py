@@ -143,6 +143,9 @@ def brute_repeats(docs, m, first):
 @pytest.mark.parametrize("first", [False, True])
 def test_repeats_by_brute_force(spark, monkeypatch, group, first):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    if group == 2:  # pieces and blocks of a few windows
+        monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+        monkeypatch.setattr(suffix_dedup, "BLOCK", 200)
     rng = random.Random(group)
     pool = ["".join(rng.choice("abcdé \n") for _ in range(rng.randrange(5, 160))) for _ in range(12)]
     texts = ["".join(rng.choice(pool) if rng.random() < 0.6 else "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(60))) for _ in range(rng.randrange(8))) for _ in range(80)] + ["ab" * 200, "x" * 150]
