@@ -92,21 +92,17 @@ def _ask(group: pa.Table, parts: int) -> pa.Table:
     return _rows(group["batch"][0].as_py(), *_distinct(grams(_texts(group), 2)[1], parts))
 
 
-class Counts:
-    """Corpus counts of a batch's n-grams, from the answers to one question."""
-
-    def __init__(self, hashes: list[np.ndarray], answers: pa.Table, number: int, parts: int):
-        found, _, _ = _distinct(hashes, parts)
-        by = {p: t for p, t, n in zip(*(answers[c].to_pylist() for c in ("part", "totals", "question")), strict=True) if n == number}
-        total = np.concatenate([np.zeros(0, np.uint64), *[_numbers(by[p]) for p in sorted(by)]])
-        order = np.argsort(found, kind="stable")
-        self.found, self.total = found[order], total[order].astype(np.float64)
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.found):
-            return np.zeros(len(h))
-        at = np.searchsorted(self.found, h).clip(0, len(self.found) - 1)
-        return np.where((h > 0) & (self.found[at] == h), self.total[at], 0)
+def _counted(hashes: list[np.ndarray], answers: pa.Table, number: int, parts: int) -> list[np.ndarray]:
+    """The corpus count of each n-gram of a batch, from the answers to one question; 0 where there is none."""
+    each = [np.unique(h, return_inverse=True) for h in hashes]
+    found, place = np.unique(np.concatenate([f for f, _ in each]), return_inverse=True)
+    by = {p: t for p, t, n in zip(*(answers[c].to_pylist() for c in ("part", "totals", "question")), strict=True) if n == number}
+    none = int(len(found) > 0 and found[0] == 0)
+    order = np.argsort(found[none:] % np.uint64(parts), kind="stable")  # as they were asked
+    count = np.zeros(len(found))
+    count[none + order] = np.concatenate([np.zeros(0, np.uint64), *[_numbers(by[p]) for p in sorted(by)]])
+    own = np.split(count[place], np.cumsum([len(f) for f, _ in each])[:-1])
+    return [c[inverse] for c, (_, inverse) in zip(own, each, strict=True)]
 
 
 def _longer(hashes: list[np.ndarray], counts: list[np.ndarray], n: int, least: int) -> np.ndarray:
@@ -128,16 +124,12 @@ def _known(docs: pa.Table, answers: pa.Table, parts: int, orders: int, counted:
     """Words of each text, hashes of the orders above `counted` up to `orders` that end at each word, and counts of the others.  Hashes
     are let go as soon as they are counted."""
     size, hashes = grams(_texts(docs), orders)
-    both = Counts(hashes[:2], answers, 2, parts)
-    counts = []
-    for k in range(2):
-        counts.append(both.of(hashes[k]))
-        hashes[k] = None
-    del both
+    counts = _counted(hashes[:2], answers, 2, parts)
+    hashes[0] = hashes[1] = None
     for k in range(3, counted + 1):
         own = _longer(hashes, counts, k, least)
         hashes[k - 1] = None
-        counts.append(Counts([own], answers, k, parts).of(own))
+        counts += _counted([own], answers, k, parts)
     return size, hashes, counts
 
 
