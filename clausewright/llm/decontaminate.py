@@ -1,7 +1,7 @@
 """Operator 7: benchmark decontamination by SimHash over item-sized windows.
 
 Texts and items become words (`[0-9a-z]` and everything beyond ASCII, A-Z lower-cased).  For an item of m words every window
-of m consecutive words of a document is compared with the item:
+of m consecutive words of a document is compared with the item; a document of fewer words is one window, its whole text:
 
 1. The weight of the item's shingles that a window holds bounds their similarity from above; windows whose bound is below the
    threshold are passed over (an exact prefilter: most windows share no five-word shingle with any item).
@@ -131,14 +131,14 @@ class Index:
             size, m = len(self.items[k][1]), min(self.shingle, len(self.items[k][1]))
             places = np.array([p for p, _ in own])
             upto = np.concatenate([[0.0], np.cumsum([x for _, x in own])])
-            first, last = max(0, places[0] + m - size), min(places[-1], len(w) - size)
+            first, last = max(0, places[0] + m - size), max(0, min(places[-1], len(w) - size))
             p = np.arange(first, last + 1)
             inside = upto[np.searchsorted(places, p + size - m, "right")] - upto[np.searchsorted(places, p)]
             if len(good := p[inside >= self.threshold * self.total[k] - 1e-9]):
                 starts[k] = good.tolist()
         found, seen = {}, {}
         for k, where in starts.items():
-            size = len(self.items[k][1])
+            size = min(len(self.items[k][1]), len(w))
             for p in where:
                 if (p, size) not in seen:
                     grams = Counter(self.cut(w[p : p + size]))

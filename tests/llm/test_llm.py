@@ -196,6 +196,24 @@ def test_decontamination_by_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got} == expected and expected
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark):
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(39))) for k in range(4)] + [(9, "one two three four five six")]
+    cuts = [(39 * k + n, k, t.split()[a : a + n]) for k, t in items[:4] for n in range(1, 39) for a in (0, 39 - n)[k % 2 :][:1]]
+    docs = [(i, " ".join(w)) for i, _, w in cuts] + [(900, "one two three four five"), (901, ""), (902, None)]
+    five = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    expected = set()  # every shingle is in one item, so all weigh the same
+    for d, t in docs:
+        for k, own in items:
+            a, b = five((t or "").split()), five(own.split())
+            if t and sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                expected.add((d, k))
+    docs_, items_ = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(docs_, items_).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == expected and (38, 0) in expected
+    assert all(r.first_word == 0 and r.n_words == len(dict(docs)[r.doc_id].split()) for r in got)
+    assert {r.doc_id for r in decontaminate.clean(docs_, items_).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+
+
 def test_warc_links_digests_and_round_trip(spark):
     page = "<html lang='fr'><head><title>A &amp; B</title><script>var x='</p>'</script></head><body><p>One<br>Two &lt;3</p><!-- gone --><a href=\"/x\">link</a></body></html>"
     src = warc.responses(spark.createDataFrame([(1, "http://a/b", page), (2, None, None)], "page_id long, url string, html string"))
