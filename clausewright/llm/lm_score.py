@@ -1,14 +1,15 @@
 """Operator 3: stupid-backoff language-model scores of a corpus by its own n-gram counts, computed relationally.
 
-Counts of all n-grams (orders 1 to `order`) cover every document.  N-grams of order 2 and more with a corpus count under `least` are pruned: they
-say nothing beyond their own document.  A word's score is the count of the longest n-gram that ends at it and isn't pruned, over the
+Counts of all n-grams (orders 1 to `order`) cover every document.  N-grams of order 2 and more with a corpus count under `least` are pruned; with
+1, the default, none is.  A word's score is the count of the longest n-gram that ends at it and isn't pruned, over the
 count of that n-gram without its last word, times `alpha` for each order given up; a lone word's is its count over all words.  A document's score is
 the sum of log10 over its words; perplexity is 10 ** (-score / words).
 
 The relations are held in packed blocks, so that a row isn't needed for each n-gram of each document:
 1. Documents are dealt into batches of about BATCH bytes; a batch explodes into its distinct n-grams (64-bit hashes) of orders 1 and 2 with
    counts, cut by hash into parts: one row for each (part, batch).  A frequent n-gram is sent once for each batch.  Of each longer order only
-   n-grams are sent whose two shorter parts reach `least`: the others can't, so nothing is lost.
+   n-grams are sent whose two shorter parts reach `least` and 2: under `least` the n-gram can't reach it, and with a part that occurs once it occurs
+   once itself, so nothing is lost.
 2. The count table is partitioned by hash: a part's rows meet, are summed, and each batch's n-grams are joined to the sums.
    A batch gets back one number for each n-gram that it sent, in the order it sent them.
 3. The batch explodes again (its documents come from the same exchange), looks up its n-grams and sums by document.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, mix64, pick, text_bytes
 
-ORDER, ALPHA, LEAST = 3, 0.4, 2  # an order of 2 or more
+ORDER, ALPHA, LEAST = 3, 0.4, 1  # an order of 2 or more
 #: Bytes of text in a batch, about, and parts of the count table for each batch.
 BATCH, PARTS = 12 << 20, 2
 
@@ -106,9 +107,10 @@ def _counted(hashes: list[np.ndarray], answers: pa.Table, number: int, parts: in
 
 
 def _longer(hashes: list[np.ndarray], counts: list[np.ndarray], n: int, least: int) -> np.ndarray:
-    """The n-grams of order n whose two parts of order n - 1 both reach `least`; no others can."""
-    ok = counts[n - 2] >= least
-    ok[1:] &= counts[n - 2][:-1] >= least
+    """The n-grams of order n whose count isn't known from their two parts of order n - 1: both reach `least`, and 2."""
+    most = max(least, 2)
+    ok = counts[n - 2] >= most
+    ok[1:] &= counts[n - 2][:-1] >= most
     return np.where(ok, hashes[n - 1], 0).astype(np.uint64)
 
 
@@ -128,8 +130,10 @@ def _known(docs: pa.Table, answers: pa.Table, parts: int, orders: int, counted:
     hashes[0] = hashes[1] = None
     for k in range(3, counted + 1):
         own = _longer(hashes, counts, k, least)
+        once = (own == 0) & (hashes[k - 1] != 0)  # not asked for: it occurs once, or is pruned anyway
         hashes[k - 1] = None
         counts += _counted([own], answers, k, parts)
+        counts[-1][once] = 1
     return size, hashes, counts
 
 

@@ -139,6 +139,25 @@ def brute_repeats(docs, m, first):
     return out
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_backoff_scores_use_every_count(spark, monkeypatch, order):
+    monkeypatch.setattr(lm_score, "BATCH", 400)
+    rng = random.Random(order)
+    docs = [(k, " ".join(rng.choice("abcdefghijklmnopqrst"[: 4 + k // 3]) for _ in range(rng.randrange(30)))) for k in range(40)] + [(90, "only here once"), (91, None), (92, "a b c d"), (92, "a b c d")]
+    own = [(k, (t or "").split()) for k, t in docs]
+    count = Counter(tuple(w[i : i + n]) for _, w in own for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(len(w) for _, w in own)
+
+    def one(w, i):
+        longest = min(order, i + 1)
+        n = next(n for n in range(longest, 0, -1) if count[tuple(w[i - n + 1 : i + 1])] > 0)
+        return np.log10(count[tuple(w[i - n + 1 : i + 1])] / (count[tuple(w[i - n + 1 : i])] if n > 1 else total)) + np.log10(0.4) * (longest - n)
+
+    expected = sorted((k, len(w), round(float(sum(one(w, i) for i in range(len(w)))), 6)) for k, w in own)
+    got = sorted((r.doc_id, r.n_words, round(r.score, 6)) for r in lm_score.score(spark.createDataFrame(docs, "doc_id long, text string"), order=order).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in expected] and np.allclose([x[2] for x in got], [x[2] for x in expected], atol=1e-5)
+
+
 @pytest.mark.parametrize("group", [256, 2])
 @pytest.mark.parametrize("first", [False, True])
 def test_repeats_by_brute_force(spark, monkeypatch, group, first):
