@@ -13,13 +13,15 @@ of m consecutive words of a document is compared with the item; a document of fe
 
 Items of fewer than five words are one shingle, their whole sequence.  Items and texts that are null or without words match nothing;
 equal items match alike, each under its own id; repeated documents match alike; empty tables give no rows.  Items go to the workers in
-blocks of at most BLOCK_BYTES of text, whatever the size of the item table; documents aren't shuffled.
+blocks of at most BLOCK_BYTES of text, whatever the size of the item table; documents aren't shuffled.  Weights are those of the whole
+item table in every block: the number of items and of holders of each shared shingle are counted once and go along with each block.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -51,10 +53,15 @@ def simhash(shingles: dict[tuple, float]) -> int:
     return int(((votes >= 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
+def shingles(w: list[bytes], shingle: int = SHINGLE) -> list[tuple]:
+    m = min(shingle, len(w))
+    return [tuple(w[i : i + m]) for i in range(len(w) - m + 1)]
+
+
 class Index:
-    """One block of items."""
+    """One block of items.  `counted`: the whole table's items and the holders of its shared shingles, where the block isn't the whole table."""
 
-    def __init__(self, items: list[tuple], shingle: int = SHINGLE, threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple], shingle: int = SHINGLE, threshold: float = THRESHOLD, counted: tuple[int, dict[tuple, int]] | None = None):
         self.threshold, self.shingle = threshold, shingle
         self.items = [(i, w) for i, t in items if (w := words((t or "").encode()))]
         self.vocabulary = {}
@@ -62,9 +69,9 @@ class Index:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
         self.grams = [Counter(self.cut(w)) for _, w in self.items]
-        held = Counter(s for g in self.grams for s in g)
-        n = max(1, len(self.items))
-        self.weight = {s: math.log(1 + n / k) for s, k in held.items()}
+        n, held = counted or (len(self.items), Counter(s for g in self.grams for s in g))
+        n = max(1, n)
+        self.weight = {s: math.log(1 + n / k) for s, k in held.items() if k > 1}  # one item's weigh as unknown ones
         self.unknown = math.log(1 + n)
         self.prints = [simhash(self.weighted(g)) for g in self.grams]
         self.blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(8)]
@@ -81,8 +88,7 @@ class Index:
         self.codes = {m: np.unique(np.array([self.code(map(self.vocabulary.__getitem__, s)) for s in self.where if len(s) == m], np.uint64)) for m in self.widths}
 
     def cut(self, w: list[bytes]) -> list[tuple]:
-        m = min(self.shingle, len(w))
-        return [tuple(w[i : i + m]) for i in range(len(w) - m + 1)]
+        return shingles(w, self.shingle)
 
     def code(self, ids) -> int:
         h = 0
@@ -125,7 +131,7 @@ class Index:
             for p in at[self.codes[m][place] == h[at]].tolist():
                 gram = tuple(w[p : p + m])
                 for k in self.where.get(gram, ()):
-                    held[k].append((p, self.weight[gram]))
+                    held[k].append((p, self.weight.get(gram, self.unknown)))
         starts: dict[int, list[int]] = {}
         for k, own in held.items():
             size, m = len(self.items[k][1]), min(self.shingle, len(self.items[k][1]))
@@ -156,14 +162,34 @@ def _blocks(items: DataFrame) -> list[DataFrame]:
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _counted(items: DataFrame) -> tuple[int, dict[tuple, int]]:
+    """Items with words, and for each shingle that several of them have, how many do."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        # an empty row stands for the item itself
+        return {"gram": [x for t in text_bytes(batch) if (w := words(t or b"")) for x in (b"", *{b" ".join(s) for s in shingles(w)})]}
+
+    n = arrow_map(items, run, "gram binary").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1 OR octet_length(gram) = 0")
+    held = {bytes(r["gram"]): r["n"] for r in n.toLocalIterator()}
+    return held.pop(b"", 0), {tuple(g.split(b" ")): k for g, k in held.items()}
+
+
+def _indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
+    """An index of each block, all with the weights of the whole table."""
+    parts = _blocks(items)
+    counted = _counted(items) if len(parts) > 1 else None
+    for part in parts:
+        yield Index([tuple(r) for r in part.collect()], threshold=threshold, counted=counted)
+
+
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item that match: key, item_id, similarity, first_word, n_words of the best window."""
     rows = pick(docs, key=key, text=text)
     wanted = pick(items, item=item, text=item_text).where(F.col("text").isNotNull())
     kind, item_kind = rows.schema["key"].dataType.simpleString(), wanted.schema["item"].dataType.simpleString()
     out = None
-    for part in _blocks(wanted):
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], threshold=threshold))
+    for block in _indexes(wanted, threshold):
+        index = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batch: pa.RecordBatch, index=index) -> dict:
             own = index.value
@@ -183,8 +209,8 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """The documents that match no item, with all their columns.  Rows are judged one by one, so null or repeated keys don't matter."""
     wanted = pick(items, item=item, text=item_text).where(F.col("text").isNotNull())
     out = docs
-    for part in _blocks(wanted):
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], threshold=threshold))
+    for block in _indexes(wanted, threshold):
+        index = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, index=index):
             for batch in batches:

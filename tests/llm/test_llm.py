@@ -233,6 +233,25 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert {r.doc_id for r in decontaminate.clean(docs_, items_).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
 
 
+def test_decontamination_whatever_the_number_of_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(24)]  # a passage that all items share, so its weight depends on how many are counted
+    items = [(k, " ".join([*common, *(f"i{k}x{j}" for j in range(rng.randrange(8, 30)))])) for k in range(24)] + [(90, "three short words"), (91, None)]
+    docs = []
+    for k, t in items[:24]:
+        w = t.split()
+        docs += [(100 * k + n, " ".join(["front", *common[n:], *w[24:], "back"])) for n in range(1, 20)] + [(100 * k + 40 + n, " ".join(w[: len(w) - n])) for n in range(8)]
+    docs_, items_ = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, r.similarity, r.first_word, r.n_words) for r in decontaminate.matches(docs_, items_).collect())
+    whole = found()
+    assert 0 < len(whole) < len(docs)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", sum(len(t or "") for _, t in items) // 4)
+    assert len(decontaminate._blocks(items_.where("text IS NOT NULL"))) > 3
+    blocks = found()
+    assert [x[:2] + x[3:] for x in blocks] == [x[:2] + x[3:] for x in whole] and np.allclose([x[2] for x in blocks], [x[2] for x in whole], atol=1e-12)
+    assert {r.doc_id for r in decontaminate.clean(docs_, items_).collect()} == {d for d, _ in docs} - {x[0] for x in whole}
+
+
 def test_warc_links_digests_and_round_trip(spark):
     page = "<html lang='fr'><head><title>A &amp; B</title><script>var x='</p>'</script></head><body><p>One<br>Two &lt;3</p><!-- gone --><a href=\"/x\">link</a></body></html>"
     src = warc.responses(spark.createDataFrame([(1, "http://a/b", page), (2, None, None)], "page_id long, url string, html string"))
