@@ -65,6 +65,15 @@ def near_pairs(df: DataFrame, blocks: tuple[str, ...], key: str = "doc_id", text
     return both.withColumn("jaccard", common / (F.size("ga") + F.size("gb") - common)).where(F.col("jaccard") >= similarity).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def near_members(df: DataFrame, blocks: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: key, and class_id, the least key of its block's rows with the same text.  Those are the ids of `near_pairs`, so
+    its pairs and this table say all that is alike.  Classes are counted before the shuffle; a text without words has a class and no pairs."""
+    rows = df.select(*blocks, content_hash(F.col(text)).alias("content_hash"), key)
+    classes = rows.groupBy(*blocks, "content_hash").agg(F.min(key).alias("class_id"))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*blocks, "content_hash")]
+    return rows.alias("x").join(classes.alias("y"), same).select(F.col(f"x.{key}").alias(key), F.col("y.class_id").alias("class_id"))
+
+
 def tiers(df: DataFrame, tier_of: DataFrame, source: str = "source") -> DataFrame:
     """Each row with the tier of its source; sources without one are held back."""
     return df.join(tier_of, source, "left").withColumn("tier", F.coalesce("tier", F.lit("held")))

@@ -382,6 +382,11 @@ def near_dup_pairs(spark, d):
     return dedup.near_pairs(table(spark, d, "documents"), ("source", "lang"))
 
 
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang, text) AS class_id FROM documents")
+def near_dup_members(spark, d):
+    return dedup.near_members(table(spark, d, "documents"), ("source", "lang"))
+
+
 FURNITURE_SQL = "WITH l AS (SELECT DISTINCT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), f AS (SELECT source, line, count(*) AS n FROM l WHERE line <> '' GROUP BY 1, 2 HAVING count(*) >= 3 OR regexp_matches(line, '^(page )?[0-9]{1,4}$'))"
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from clausewright.functions import text as T
-from clausewright.operators import chunk, extract, graph, metrics, sample, segment, validate
+from clausewright.operators import chunk, dedup, extract, graph, metrics, sample, segment, validate
 from clausewright.plans import pipeline
 from clausewright.sources import sinks, tables
 from clausewright.streaming import ingest
@@ -111,3 +111,14 @@ def test_upsert_keeps_the_last(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 5, "y")], "id string, seq int, v string")
     new = spark.createDataFrame([("a", 1, "n"), ("b", 4, "m")], "id string, seq int, v string")
     assert sorted((r.id, r.v) for r in sinks.upserted(old, new, ["id"], "seq").collect()) == [("a", "n"), ("b", "y")]
+
+
+def test_near_pairs_and_members_link_every_copy(spark):
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, near), (3, near), (9, near), (7, near + " more"), (8, near + " more"), (20, "only copies"), (21, "only copies"), (30, None), (31, None), (32, "")]
+    docs = [(k, t, "s", None if k >= 30 else "en") for k, t in rows] + [(40, near, "other", "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    members = {r.doc_id: r.class_id for r in dedup.near_members(df, ("source", "lang")).collect()}
+    assert members == {5: 3, 3: 3, 9: 3, 7: 7, 8: 7, 20: 20, 21: 20, 30: 30, 31: 30, 32: 32, 40: 40}
+    pairs = [(r.a, r.b) for r in dedup.near_pairs(df, ("source", "lang")).collect()]
+    assert {(x, y) for a, b in pairs for x in members if members[x] == a for y in members if members[y] == b} == {(x, y) for x in (3, 5, 9) for y in (7, 8)}
