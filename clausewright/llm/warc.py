@@ -29,7 +29,10 @@ DATE = "2024-01-01T00:00:00Z"
 HTTP_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg)\b.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head|svg)(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+_CLOSE = {"--": re.compile("-->")} | {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "title")}
+#: What a head is made of: hidden parts, titles, other tags that may stand in it, its own end, and whatever else.
+_IN_HEAD = re.compile(r"\s+|<!--|<(script|style|noscript|template|title)(?=[\s/>])[^>]*(?:>|\Z)|<(/head)\s*>|<(body)(?=[\s/>])|</?(?:meta|link|base|basefont|bgsound|noframes|noscript|template|title|script|style|head)(?=[\s/>])[^>]*>|<[!?][^>]*>|(<|[^\s<]+)", re.I)
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
 _LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -48,9 +51,50 @@ def record_id(kind: str, source: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}:{source}')}>"
 
 
+def _after(page: str, m: re.Match, unclosed: set[str]) -> int:
+    """Where a hidden part ends.  Without its closing tag a comment, script or style goes on to the end of the page, any other is its tag alone."""
+    name = (m[1] or "--").lower()
+    if name == "svg" and m[0].endswith("/>"):
+        return m.end()
+    end = None if name in unclosed else _CLOSE[name].search(page, m.end())
+    if end:
+        return end.end()
+    unclosed.add(name)
+    return len(page) if name in ("--", "script", "style") else m.end()
+
+
+def _after_head(page: str, at: int, unclosed: set[str]) -> tuple[int, int]:
+    """Where a head ends, and how far was read: at its closing tag, or, if <body or the page's end comes first, at the first thing that can't stand in a head."""
+    first = None
+    while m := _IN_HEAD.match(page, at):
+        if m[2]:
+            return m.end(), m.end()
+        if m[3]:
+            break
+        if m[4] and first is None:
+            first = at
+        at = _after(page, m, unclosed) if m[1] or m[0] == "<!--" else m.end()
+    return at if first is None else first, at
+
+
+def _without_hidden(page: str) -> str:
+    """The page with a blank for each comment, script, style, noscript, template, svg and head."""
+    out, at, read = [], 0, 0
+    unclosed: set[str] = set()  # names without a closing tag further on
+    while m := _HIDDEN.search(page, at):
+        out += [page[at : m.start()], " "]
+        if (m[1] or "").lower() != "head":
+            at = _after(page, m, unclosed)
+        elif m.start() < read:  # inside a head that was read before and has no closing tag
+            at = m.end()
+        else:
+            at, read = _after_head(page, m.end(), unclosed)
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """Visible text: no comments, scripts, styles or head; block tags break lines; entities resolved; blank runs closed up."""
-    shown = _BREAK.sub("\n", _HIDDEN.sub(" ", page))
+    shown = _BREAK.sub("\n", _without_hidden(page))
     shown = html.unescape(_TAG.sub("", shown))
     lines = (_BLANK.sub(" ", x).strip() for x in shown.split("\n"))
     return "\n".join(x for x in lines if x)

@@ -264,6 +264,39 @@ def test_warc_links_digests_and_round_trip(spark):
     assert {x["warc-record-id"] for x in back} == {conv.record_id, meta.record_id} and all(warc.digest(x["block"]) == x["warc-block-digest"] for x in back)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>One</p>Two</body></html>", "One\nTwo"),
+        ("<head><title>T</title><style>p{}</style><script>'</head>'</script><p>One</p>Two", "One\nTwo"),
+        ("<head><title>T</title> One <b>two</b>", "One two"),
+        ("<head><title>T</title><body>One <!-- </head> -->two", "One two"),
+        ("<head><title>T</title><div>odd</div></head><body>One</body>", "One"),
+        ("<head><meta a><link b>", ""),
+        ("<head><body>One<head>two", "One two"),
+        ("One <svg width=1/>two <svg><text>gone</text></svg>three", "One two three"),
+        ("One <svg><path d=x/>two", "One two"),
+        ("One <noscript>two <template>three", "One two three"),
+        ("One <noscript>gone</noscript><template>gone</template>two", "One two"),
+        ("One <!-- gone", "One"),
+        ("One <script>gone <p>gone", "One"),
+        ("One <style>gone", "One"),
+        ("<header>One</header><p>two", "One\ntwo"),
+    ],
+)
+def test_visible_text_of_unclosed_parts(page, text):
+    assert warc.plain_text(page) == text
+
+
+def test_visible_text_takes_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    for x in ("<svg>", "<noscript>a", "<template>", "<head>a", "<head><p>", "<head><title>"):
+        warc.plain_text(x * 40000)
+    assert time.perf_counter() - begin < 30
+
+
 def test_a_new_shard_takes_rows_only_into_itself(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     got = sharding.number(sharding.shard(df, 8, grown=9), ["doc_id"]).collect()
