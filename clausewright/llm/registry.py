@@ -55,7 +55,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.responses(table(spark, sf_dir, "pages")), keep="page_id")
-    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", F.octet_length("block").cast("long").alias("n_bytes"), "block_digest", "payload_digest", "source_content_type", F.sha2("block", 256).alias("block_sha256"))
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", F.octet_length("block").cast("long").alias("n_bytes"), "block_digest", "payload_digest", "source_content_type", "http_headers", F.sha2("block", 256).alias("block_sha256"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Operator 8: WARC derivatives.  Response records become linked metadata and plain-text conversion records.
 
 A response has a record id, a target URI, a date, an HTTP header block and a payload.  From it are made
-- a metadata record (application/warc-fields: title, language, links, source headers, payload digest),
+- a metadata record (application/warc-fields: title, language, links, payload digest, and the source's HTTP status line and every header as
+  source-http-status and source-http-header),
 - a conversion record (text/plain; charset=utf-8) of the payload's visible text.
 Both carry WARC-Refers-To with the response's id, WARC-Target-URI, WARC-Date, the digest of their own block, and the
 response's payload digest and Content-Type (as WARC-Source-Payload-Digest and WARC-Source-Content-Type).  Ids are name-based (SHA-1 of type and source id), so a repeated or
@@ -100,10 +101,16 @@ def plain_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def metadata_block(page: str, content_type: str, payload: str) -> bytes:
+def header_lines(headers: str) -> list[str]:
+    """The lines of an HTTP header block, folded ones made one."""
+    return re.sub(r"\r?\n[ \t]+", " ", headers).split("\n")
+
+
+def metadata_block(page: str, content_type: str, payload: str, headers: str = "") -> bytes:
     title, lang = _TITLE.search(page), _LANG.search(page)
     links = [html.unescape(next((x for x in m if x), "")) for m in _LINK.findall(page)]
-    fields = [("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("language", lang[1] if lang else ""), ("source-content-type", content_type), ("source-payload-digest", payload), *(("outlink", " ".join(x.split())) for x in links)]
+    source = [("source-http-status" if x[:5].upper() == "HTTP/" else "source-http-header", x.strip()) for x in header_lines(headers)]
+    fields = [("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("language", lang[1] if lang else ""), ("source-content-type", content_type), ("source-payload-digest", payload), *source, *(("outlink", " ".join(x.split())) for x in links)]
     return "".join(f"{k}: {v}\r\n" for k, v in fields if v).encode()
 
 
@@ -130,7 +137,7 @@ def derive(sources: DataFrame, keep: str | None = None) -> DataFrame:
             page, payload_digest = raw.decode("utf-8", "replace"), digest(raw)
             found = re.search(r"(?im)^content-type:[ \t]*([^\r\n]*)", headers or "")
             kind = found[1].strip() if found else ""
-            for what, mime, block in (("metadata", "application/warc-fields", metadata_block(page, kind, payload_digest)), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode())):
+            for what, mime, block in (("metadata", "application/warc-fields", metadata_block(page, kind, payload_digest, headers or "")), ("conversion", "text/plain; charset=utf-8", plain_text(page).encode())):
                 for c, v in zip(out, (keep_, record_id(what, rid or ""), what, rid, uri, date, mime, block, digest(block), payload_digest, kind, headers), strict=True):
                     out[c].append(v)
         return out

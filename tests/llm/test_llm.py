@@ -264,6 +264,18 @@ def test_warc_links_digests_and_round_trip(spark):
     assert {x["warc-record-id"] for x in back} == {conv.record_id, meta.record_id} and all(warc.digest(x["block"]) == x["warc-block-digest"] for x in back)
 
 
+def test_warc_derivatives_keep_the_source_headers(spark):
+    own = ["Content-Type: text/html; charset=utf-8", "Last-Modified: Tue, 02 Jan 2024 00:00:00 GMT", "Content-Language: fr", "Set-Cookie: a=1", "Set-Cookie: b=2"]
+    head = "\r\n".join(["HTTP/1.1 203 Other", *own, "X-Folded: one", "\ttwo"])
+    src = spark.createDataFrame([("<urn:a>", "http://a/", warc.DATE, head, b"<p>x"), ("<urn:b>", None, warc.DATE, None, None)], "record_id string, target_uri string, warc_date string, http_headers string, payload binary")
+    made = warc.derive(src)
+    back = [x for r in warc.serialise(made).collect() for x in warc.parse(bytes(r.member))]
+    meta = {x["warc-refers-to"]: x["block"].decode().split("\r\n") for x in back if x["warc-type"] == "metadata"}
+    assert [x.split(": ", 1)[1] for x in meta["<urn:a>"] if x.startswith("source-http-header: ")] == [*own, "X-Folded: one two"]
+    assert "source-http-status: HTTP/1.1 203 Other" in meta["<urn:a>"] and not any(x.startswith("source-http") for x in meta["<urn:b>"])
+    assert {r.http_headers for r in registry.QUERIES["op8_warc_derivatives"](spark, SF).collect()} == {warc.HTTP_HEADERS}
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
