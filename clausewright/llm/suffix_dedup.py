@@ -190,6 +190,10 @@ def _settle(df: DataFrame, least: int, keep_first: bool) -> DataFrame:
 
     def block(groups: list[pa.Table]) -> pa.RecordBatch | None:
         t = pa.concat_tables(groups)
+        # rows that repeat key and text fetch a region again; it mustn't count as a copy of itself
+        _, once = np.unique(np.stack([t["ah"].to_numpy(), t["rh"].to_numpy()]), axis=1, return_index=True)
+        if len(once) < t.num_rows:
+            t = t.take(pa.array(np.sort(once)))
         # sorted by anchor, then by the global order: only equal anchors can match, so the order within an anchor is what counts
         raw = t["region"].to_pylist()
         lengths = np.array([len(x) for x in raw])

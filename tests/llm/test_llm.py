@@ -173,6 +173,20 @@ def test_repeats_by_brute_force(spark, monkeypatch, group, first):
     assert got == brute_repeats([(k, t.encode()) for k, t in docs], 40, first)
 
 
+@pytest.mark.parametrize("group", [256, 2])
+def test_first_copies_stay_where_rows_repeat(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passages = [own(90) for _ in range(4)]
+    docs = [(k, own(50) + passages[k % 4] + own(50)) for k in range(12)]
+    expected = {k: t.decode() for k, t in brute_repeats([(k, t.encode()) for k, t in docs], 40, True).items()}
+    assert all(passages[k] in expected[k] for k in range(4)) and not any(passages[k % 4] in expected[k] for k in range(4, 12))
+    rows = docs + docs[:3] + docs[:1] + docs[6:8]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in suffix_dedup.clean(df, 40).collect()) == sorted((k, expected[k]) for k, _ in rows)
+
+
 def test_suffix_classes_order_suffixes():
     raw = np.frombuffer(b"mississippi mississippi", np.uint8)
     rank = suffix_dedup.suffix_classes(raw, 9)
