@@ -8,8 +8,9 @@ All of this is tabulated once: `state` maps any `order` bytes to the longest con
 context's code lengths in bits.  A text is scored by two look-ups a byte, over the whole text, in any number of languages at once.
 The language of least total code length wins; the score is its posterior probability under equal priors.
 
-Training reads a bounded sample: at most about `rows_per_language` rows of each language, chosen by a hash of their texts,
-at most `max_contexts` contexts (the most frequent) over all languages, and at most `max_languages` languages.  Prediction covers every row.
+Training reads a bounded sample: at most about `rows_per_language` rows of each language, chosen by a hash of their texts, and
+at most `max_contexts` contexts (the most frequent) over all languages.  Every language is learned; the table of code lengths grows
+with their number.  Prediction covers every row.
 
 A null text or one without a letter is `und` with score 0; nulls in the language column are not learned from; repeated rows are
 learned from as often as they are drawn; equal code lengths go to the alphabetically first language.  Without any training row every prediction is
@@ -32,7 +33,6 @@ from .common import arrow_map, fraction_column, pick, text_bytes
 ORDER = 3
 ROWS_PER_LANGUAGE = 400
 MAX_CONTEXTS = 40_000
-MAX_LANGUAGES = 64
 PAD = b"\n" * ORDER
 _LETTER = regex.compile(r"\p{L}")
 #: Positions scored in one step.
@@ -164,10 +164,10 @@ def tabulate(rows: list[tuple[str, int, int]], max_contexts: int = MAX_CONTEXTS)
     return Model(languages, classes, state.reshape(-1), cost.reshape(-1, len(languages)))
 
 
-def fit(df: DataFrame, lang: str = "lang", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit(df: DataFrame, lang: str = "lang", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS) -> Model:
     """Learn from rows with a language.  Only counts of the bounded sample reach the driver."""
     rows = pick(df, lang=lang, text=text).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return tabulate([])
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / v)))])
@@ -212,7 +212,7 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, lang_pred, score."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # its size is bounded by max_contexts, 256 classes and max_languages
+    shared = spark.sparkContext.broadcast(model)  # its size is bounded by max_contexts and 256 classes for each language
 
     def run(batch: pa.RecordBatch) -> dict:
         m = shared.value

@@ -106,6 +106,18 @@ def test_language_accuracy_on_rows_never_learned_from(spark):
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
 
 
+def test_more_than_64_languages_are_learned(spark):
+    letters = "abcdefghijkl"
+    words = {f"l{a}{b}": f"{a}{b}{b}{a}{a}{b}" for a in letters for b in letters if a < b}  # 66 languages of one word each
+    rows = [(k, f"{w} " * 12, x) for k, (x, w) in enumerate(words.items())]
+    rows += [(1000 + k, f"{w} " * 12, x) for k, (x, w) in enumerate(words.items()) if k]  # the first is the rarest
+    df = spark.createDataFrame([*rows, (5000, "no language", None)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert set(model.languages) == set(words) and len(words) > 64
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()}
+    assert all(got[k] == x for k, _, x in rows)
+
+
 def test_licence_rules(spark):
     texts = ["Licensed under the Apache License, Version 2.0.", "CC-BY-NC 4.0 and the MIT License; MIT license", "GNU General Public License, version 3 or later", "mit der", "All Rights Reserved.", ("MIT License. " * 500)]
     got = {r.doc_id: r for r in licenses.scan(odd(spark, list(enumerate(texts)))).collect()}
