@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -17,8 +16,8 @@ from pyspark.sql import types as T
 
 #: Bytes that end a word for the operators that split on ASCII white space.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
-#: Texts handled together inside a Python worker hold about so many bytes.
-CHUNK_BYTES = 4 << 20
+#: Texts handled together inside a Python worker hold about so many bytes, and a batch on its way to one.
+CHUNK_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +74,26 @@ def slices(batch: pa.RecordBatch, name: str = "text", most: int = CHUNK_BYTES) -
         yield batch.slice(a, b - a)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """Let Spark bound Arrow batches of this session by bytes, not by rows alone, unless the session says how."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) == "67108864b":  # Spark's own default
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
+def arrow_filter(df: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], text: str = "text") -> DataFrame:
+    """The rows that a function of bounded batches keeps, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text):
+                if (some := batch.filter(pa.array(keep(batch), pa.bool_()))).num_rows:
+                    yield some
+
+    return bounded(df).mapInArrow(run, df.schema)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType | str, text: str | None = "text", most: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow with a function from one bounded batch to columns; the schema names and types them."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -88,7 +107,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
                 if batch.num_rows and (out := fn(batch)) is not None:
                     yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, kind)
+    return bounded(df).mapInArrow(run, kind)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -102,10 +121,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def local_cpus() -> int:
-    return os.cpu_count() or 1
-
-
 def fraction_column(*cols) -> "F.Column":
     """A number in [0, 1) that depends on the row's values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))

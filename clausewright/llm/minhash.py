@@ -5,12 +5,12 @@
 2. Circulant MinHash: a first permutation sigma spreads the shingles over 2^32 places, a second one, pi, is shifted circularly by k
    to give coordinate k: min over the set of pi(sigma(x) + k mod 2^32).  Two permutations make all 128 coordinates.
 3. Banding: 32 bands of 4 coordinates.  A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8.
-   Within a band's bucket pairs are screened by size and by two bits of each coordinate (6 sigma below what similarity 0.8 gives), and only a spanning forest of
-   the screened graph is emitted; a bucket beyond BUCKET classes is tied together unscreened, which only widens what is verified.
+   Within a band's bucket pairs are screened by size and by two bits of each coordinate (6 sigma below what similarity 0.8 gives); a task keeps one
+   spanning forest over all its buckets.  A bucket beyond BUCKET classes is tied to its least node by a join, unscreened, which only widens what is verified.
 4. Components of those edges are supersets of the true ones.  Each is verified exactly: members' full sets meet in groups of bounded
    bytes and are linked by exact Jaccard similarity, skipping pairs already in one component.  A component too large for a group is
-   cut into chunks; chunks are linked through one member of each part, and members then still outside the largest part are compared with
-   every chunk.  No pair that may link two parts is left out, and none is emitted that doesn't.
+   cut into chunks; chunks are linked through one member of each part, and members then still outside the largest part visit every chunk
+   with which they share a band.  No pair of a band that may link two parts is left out, and none is emitted that doesn't.
 5. component_id is the least key of a component; rows without words link with nothing and are their own component.
 
 Nulls: a null text is empty; a null key can't be a component's id unless it is alone.  Repeated rows share class and component and have equal results; an empty table gives no
@@ -31,8 +31,8 @@ from .common import arrow_map, durable, mix64, pick, text_bytes
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-#: Classes of a bucket that are screened pair by pair.
-BUCKET = 8192
+#: Classes of a bucket that are screened pair by pair, and nodes that a task's forest holds before it is given out.
+BUCKET, FOREST = 8192, 200_000
 #: Classes and shingles in one verified group, about.
 GROUP, GROUP_SHINGLES = 1000, 4 << 20
 _PAIRS = np.uint64(0x5555555555555555)
@@ -109,62 +109,104 @@ def describe(df: DataFrame, width: int) -> DataFrame:
     return arrow_map(df, run, f"key {kind}, text_hash long, n_shingles long, set_id binary, bands array<long>, sketch binary")
 
 
-def _similar(sketch: np.ndarray, size: np.ndarray, i: int, lo: int, similarity: float) -> np.ndarray:
-    """Which of lo..i-1 may reach the similarity with i, by size and by the coordinates' low bits."""
-    x = sketch[lo:i] ^ sketch[i]
+def _similar(sketch: np.ndarray, size: np.ndarray, one: np.ndarray, its_size: int, similarity: float) -> np.ndarray:
+    """The places of those that may reach the similarity with one more, by size and by the coordinates' low bits."""
+    x = sketch ^ one
     differ = np.bitwise_count((x | x >> np.uint64(1)) & _PAIRS).sum(axis=1, dtype=np.int64)
     p = similarity + (1 - similarity) / 4
     least = p - 6 * np.sqrt(p * (1 - p) / COORDINATES)
-    a, b = size[lo:i], size[i]
-    return (COORDINATES - differ >= least * COORDINATES) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
+    return np.flatnonzero((COORDINATES - differ >= least * COORDINATES) & (np.minimum(size, its_size) >= similarity * np.maximum(size, its_size) - 1e-9))
 
 
 def _forest(node: np.ndarray, size: np.ndarray, sketch: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Edges that connect a bucket's classes as the screened pairs do."""
     n = len(node)
-    if n > BUCKET:
-        return [(int(node[0]), int(x)) for x in node[1:]]
     part, out = np.arange(n), []
     for i in range(1, n):
-        near = np.flatnonzero(_similar(sketch, size, i, 0, similarity))
+        near = _similar(sketch[:i], size[:i], sketch[i], size[i], similarity)
         if len(near):
             parts, first = np.unique(part[near], return_index=True)
             out += [(int(node[near[j]]), int(node[i])) for j in first]
-            part[: i + 1][np.isin(part[: i + 1], parts)] = parts[0]
+            if len(parts) > 1:
+                part[: i + 1][np.isin(part[: i + 1], parts)] = parts[0]
             part[i] = parts[0]
     return out
 
 
+class Forest:
+    """Union-find over node numbers; a tree's root is its least node."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up, top = self.up, x
+        while (over := up.get(top, top)) != top:
+            top = over
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    def join(self, x: int, y: int) -> None:
+        lo, hi = sorted((self.root(x), self.root(y)))
+        self.up.setdefault(lo, lo)
+        self.up[hi] = lo
+
+    def stars(self) -> pa.RecordBatch:
+        """(root, node) of every node that isn't a root: one edge less than a tree has nodes."""
+        pairs = np.array([(self.root(x), x) for x in list(self.up)], np.int64).reshape(-1, 2)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def bucket_edges(classes: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b) node pairs that connect what bands bring together.  classes: node, n_shingles, sketch, bands."""
+    """Distinct (a, b) node pairs that connect what bands bring together.  classes: node, n_shingles, sketch, bands.
+
+    A task joins all its buckets in one forest and gives one edge a node.  What several tasks say of a node (one edge for each of its
+    bands at most) is then drawn to the least of its roots, so about one edge a node is left."""
     rows = classes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").cast("int").alias("size"), "sketch")
-    dealt = rows.repartition("band").sortWithinPartitions("band")
+    counts = classes.select(F.explode("bands").alias("band"), "node").groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    crowded = durable(counts.where(F.col("n") > BUCKET).select("band", "first"), "crowded")
+    more = None
+    if crowded.limit(1).count():  # dealt out by rows, not by bucket: the join needs no row of a bucket to meet another
+        more = rows.select("band", "node").join(crowded, "band").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+        rows = rows.join(crowded.select("band"), "band", "left_anti")
+    dealt = rows.repartition("band").sortWithinPartitions("band", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        forest = Forest()
         for batch in _with_end(batches):
             if batch is not None:
                 band = batch.column(0).to_numpy(zero_copy_only=False)
                 held.append((band, batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, 4)))
                 if band[0] == band[-1] and held[0][0][0] == band[0]:
-                    continue  # one bucket so far
+                    continue  # one bucket so far, of BUCKET classes at most
             if not held:
-                return
+                break
             band, node, size, sketch = (np.concatenate(c) for c in zip(*held, strict=True))
             cuts = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True])
             stop = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last bucket may go on
-            edges = []
             for k in np.flatnonzero(np.diff(cuts)[:stop] > 1).tolist():
                 x, y = cuts[k], cuts[k + 1]
-                edges += _forest(node[x:y], size[x:y], sketch[x:y], similarity)
+                for edge in _forest(node[x:y], size[x:y], sketch[x:y], similarity):
+                    forest.join(*edge)
             rest = cuts[stop]
             held = [(band[rest:], node[rest:], size[rest:], sketch[rest:])] if rest < len(band) else []
-            if edges:
-                flat = np.array(edges, np.int64)
-                flat = np.unique(np.sort(flat, axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+            if len(forest.up) > FOREST:
+                yield forest.stars()
+                forest = Forest()
+        if forest.up:
+            yield forest.stars()
+
+    stars = dealt.mapInArrow(run, "a long, b long")
+    return drawn_in(stars if more is None else stars.unionByName(more))
+
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def drawn_in(edges: DataFrame) -> DataFrame:
+    """The same components by about one edge a node: each b's roots a are joined to the least of them.  edges: a < b; a b has few rows."""
+    ends = edges.groupBy("b").agg(F.collect_set("a").alias("ends")).select(F.array_min("ends").alias("a"), F.explode(F.concat("ends", F.array("b"))).alias("b"))
+    return ends.where("a <> b").distinct()
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -175,19 +217,31 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component of (a, b), by least neighbours and pointer jumping.  Every round's
-    labels are written to the shared folder; only counts reach the driver."""
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    """(node, label): the least node of each component of (a, b).  Each round every node points at its least neighbour or itself,
+    pointers are doubled until they reach their roots, and edges between roots are what the next round has left, so rows fall from
+    round to round.  Every step is written to the shared folder; only whether rows are left reaches the driver."""
+    left = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    whole = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        lower = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        moved = durable(lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), "label"
-            ).toDF("node", "label", "was"), "labels")
-        labels = moved.select("node", "label")
-        if not moved.where("label <> was").limit(1).count():
-            return labels
+        ends = left.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(left.select(F.col("a").alias("node"), F.col("a").alias("label")))
+        now = durable(ends.groupBy("node").agg(F.min("label").alias("label")), "labels")
+        while True:
+            # a pointer whose target is a root itself is done; the others go one step on, which doubles their reach
+            next_ = now.where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("far"))
+            moved = durable(now.join(next_, "label", "left").select("node", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved")), "labels")
+            now = moved.select("node", "label")
+            if not moved.where("moved").limit(1).count():
+                break
+        if whole is not None:
+            now_ = now.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            whole = durable(whole.join(now_, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+        else:
+            whole = now
+        to = now.where("node <> label")
+        left = left.join(to.toDF("a", "la"), "a", "left").join(to.toDF("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        left = durable(left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        if not left.limit(1).count():
+            return whole
 
 
 def _runs(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
@@ -239,7 +293,7 @@ def _link(group: pa.Table, similarity: float) -> pa.RecordBatch:
     node, size, sketch, sets = node[order], size[order], sketch[order], [sets[i] for i in order]
     part = np.arange(len(node))
     for i in range(1, len(node)):
-        near = np.flatnonzero(_similar(sketch, size, i, 0, similarity))
+        near = _similar(sketch[:i], size[:i], sketch[i], size[i], similarity)
         while len(near):
             j = near[0]
             if jaccard_at_least(sets[i], sets[j], similarity):
@@ -252,28 +306,39 @@ def _link(group: pa.Table, similarity: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[part])], names=["node", "part"])
 
 
-def _cross(group: pa.Table, similarity: float) -> pa.RecordBatch | None:
-    """(a, b) parts linked by a guest (a member outside its component's largest part) and any member of this chunk."""
-    node, size, sketch, sets = _columns(group)
-    part, guest = group["part"].to_numpy(), group["guest"].to_numpy(zero_copy_only=False)
-    order = np.r_[np.flatnonzero(~guest), np.flatnonzero(guest)]
-    node, size, sketch, sets, part = node[order], size[order], sketch[order], [sets[i] for i in order], part[order]
-    own, now, edges = int((~guest).sum()), part.copy(), []
-    for i in range(own, len(node)):
-        near = np.flatnonzero(_similar(np.r_[sketch[:own], sketch[i : i + 1]], np.r_[size[:own], size[i : i + 1]], own, 0, similarity))
-        near = near[now[near] != now[i]]
-        while len(near):
-            j = near[0]
-            if jaccard_at_least(sets[i], sets[j], similarity):
-                edges.append(sorted((int(part[i]), int(part[j]))))
-                now[now == now[i]] = now[j]
-                near = near[now[near] != now[i]]
-            else:
-                near = near[1:]
-    if not edges:
-        return None
-    flat = np.unique(np.array(edges, np.int64), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])
+def _crossed(df: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) parts linked by a guest (a member outside its component's largest part) and any host of the chunk that it visits.  Rows of a
+    chunk come hosts first; only the hosts are held, guests pass by."""
+    dealt = df.select("label", "chunk", "guest", "node", "part", "size", "sketch", "shingles").repartition("label", "chunk").sortWithinPartitions("label", "chunk", "guest", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hosts, held, forest = None, [], None, Forest()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label, chunk, guest = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            cuts = [0, *(np.flatnonzero((label[1:] != label[:-1]) | (chunk[1:] != chunk[:-1]) | (guest[1:] != guest[:-1])) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if (label[x], chunk[x]) != now:
+                    if forest.up:
+                        yield forest.stars()
+                    now, hosts, held, forest = (label[x], chunk[x]), [], None, Forest()
+                rows = pa.Table.from_batches([batch.slice(x, y - x)])
+                if not guest[x]:
+                    hosts.append(rows)
+                    continue
+                if held is None:
+                    whole = pa.concat_tables(hosts)
+                    held, parts = _columns(whole), whole["part"].to_pylist()
+                _, size, sketch, sets = held
+                for part, its_size, its_sketch, its_set in zip(rows["part"].to_pylist(), *_columns(rows)[1:], strict=True):
+                    for j in _similar(sketch, size, its_sketch, its_size, similarity).tolist():
+                        if forest.root(parts[j]) != forest.root(part) and jaccard_at_least(sets[j], its_set, similarity):
+                            forest.join(parts[j], part)
+        if forest.up:
+            yield forest.stars()
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,16 +350,20 @@ def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, key:
     label = components(bucket_edges(classes, similarity))
     part = durable(_verify(docs, classes, label, width, similarity), "parts")
     ids = part.join(classes.select("node", "first_key"), "node").groupBy("part").agg(F.min("first_key").alias("component_id"))
-    named = classes.select("set_id", "node", "first_key").join(part, "node", "left").join(ids, "part", "left").select("set_id", F.coalesce("component_id", "first_key").alias("component_id"))
-    out = rows.select("key", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")
+    named = part.join(ids, "part").join(classes.select("node", "set_id", "first_key"), "node").where(~F.col("component_id").eqNullSafe(F.col("first_key"))).select("set_id", "component_id")
+    # classes that are their own component need no entry: their rows have the class's least key
+    own = classes.select("set_id", "first_key").join(named, "set_id", "left").select("set_id", F.coalesce("component_id", "first_key").alias("component_id"))
+    out = rows.where("set_id IS NOT NULL").select("key", "text_hash", "n_shingles", "set_id").join(own, "set_id", "left").drop("set_id")
+    alone = rows.where("set_id IS NULL").select("key", "text_hash", "n_shingles", F.lit(None).cast(rows.schema["key"].dataType).alias("component_id"))
     whole = F.coalesce("component_id", "key")
-    return out.select(F.col("key").alias(key), "text_hash", "n_shingles", whole.alias("component_id"), F.col("key").eqNullSafe(whole).alias("kept"))
+    return out.unionByName(alone).select(F.col("key").alias(key), "text_hash", "n_shingles", whole.alias("component_id"), F.col("key").eqNullSafe(whole).alias("kept"))
 
 
 def _verify(docs: DataFrame, classes: DataFrame, label: DataFrame, width: int, similarity: float) -> DataFrame:
     """(node, part) by exact links, for nodes of components of two or more."""
     members = classes.select("node", F.col("n_shingles").alias("size"), "sketch", F.col("one.key").alias("one_key"), F.col("one.text_hash").alias("one_hash")).join(label, "node")
-    sizes = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(GROUP)), F.ceil(F.sum("size") / F.lit(GROUP_SHINGLES))).cast("int").alias("chunks"))
+    chunks = F.greatest(F.ceil(F.count("*") / F.lit(GROUP)), F.ceil(F.sum("size") / F.lit(GROUP_SHINGLES))).cast("int")
+    sizes = members.groupBy("label").agg(chunks.alias("chunks"))
     planned = members.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks").cast("long")).cast("int"))
     texts = docs.join(planned, (F.col("text_hash") == F.col("one_hash")) & F.col("key").eqNullSafe(F.col("one_key"))).select("node", "label", "chunk", "chunks", "size", "sketch", "text")
 
@@ -310,20 +379,24 @@ def _verify(docs: DataFrame, classes: DataFrame, label: DataFrame, width: int, s
         return local
     # one member of each part stands for it; linking those joins most parts of a component
     deputies = large.where("node = part")
-    counts = deputies.groupBy("label").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("long").alias("of"))
-    dealt = deputies.join(counts, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("of")).cast("int")).drop("of", "part")
+    counts = deputies.groupBy("label").agg(chunks.alias("of"))
+    dealt = deputies.join(counts, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("of").cast("long")).cast("int")).drop("of", "part")
     joined = _runs(dealt, ["label", "chunk"], lambda g: _link(g, similarity), "node long, part long").where("node <> part")
     edges = durable(joined.select(F.col("node").alias("a"), F.col("part").alias("b")), "deputies")
     first = components(edges).withColumnRenamed("node", "part").withColumnRenamed("label", "joint")
     now = durable(large.join(first, "part", "left").withColumn("part", F.coalesce("joint", "part")).drop("joint"), "large")
-    # members outside their component's largest part meet every chunk of it
+    # members outside their component's largest part meet the chunks of it with which they share a band
     per = now.groupBy("label", "part").agg(F.count("*").alias("n"))
     largest = per.groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    guests = now.join(largest, "label").where("part <> main").drop("main")
-    spread = guests.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("guest", F.lit(True))
+    guests = durable(now.join(largest, "label").where("part <> main").drop("main"), "guests")
+    visited = now.select("node", "label", "chunk").join(guests.select("label").distinct(), "label", "left_semi")
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    places = visited.join(banded, "node").select("label", "band", "chunk").distinct()
+    visits = guests.select("node", "label").join(banded, "node").join(places, ["label", "band"]).select("node", "chunk").distinct()
+    spread = guests.drop("chunk").join(visits, "node").withColumn("guest", F.lit(True))
     hosts = now.join(guests.select("label").distinct(), "label", "left_semi").withColumn("guest", F.lit(False))
-    more = _runs(hosts.unionByName(spread), ["label", "chunk"], lambda g: _cross(g, similarity), "a long, b long").distinct()
-    final = components(durable(edges.unionByName(more), "crossed")).withColumnRenamed("node", "part").withColumnRenamed("label", "joint")
+    more = _crossed(hosts.unionByName(spread), similarity).distinct()
+    final = components(edges.unionByName(more)).withColumnRenamed("node", "part").withColumnRenamed("label", "joint")
     return local.join(final, "part", "left").select("node", F.coalesce("joint", "part").alias("part"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fraction_column, pick, text_bytes
+from .common import arrow_filter, arrow_map, fraction_column, pick, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 _SPACES = re.compile(rb"[\x20\x09-\x0D]")
@@ -169,12 +169,8 @@ def filter_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str =
     """The rows that every rule passes, with all their columns."""
     ordered = plan(estimate(docs, rules, text), rules)
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for t in text_bytes(batch, text):
-                f = Features(t or b"")
-                keep.append(not any(rule.rejects(f) for rule in ordered))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def keep(batch: pa.RecordBatch) -> list[bool]:
+        seen = (Features(t or b"") for t in text_bytes(batch, text))
+        return [not any(rule.rejects(f) for rule in ordered) for f in seen]
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_filter(docs, keep, text)
