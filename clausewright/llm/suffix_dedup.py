@@ -5,17 +5,19 @@ if it also starts earlier, in the order of key, text hash and place (the first c
 
 1. Partition.  A window's anchor is its k-gram (k = least // 4) of least hash, leftmost of equals; equal windows have equal anchors at
    equal offsets, so only suffixes of windows with the same anchor need comparing.  Consecutive windows with one anchor form a region
-   (about 2 / (least - k + 2) of the bytes start one).  Regions of equal bytes are collapsed into one with a count, before any bytes move.
+   (about 2 / (least - k + 2) of the bytes start one).  Regions of equal bytes are collapsed into one with a count, before any bytes move: first inside a text,
+   whose later copies are known to repeat (a megabyte of one letter is two rows), then among all.
 2. An anchor with one region string is settled by the count.  The others' region bytes are fetched, once for each different
    string, and dealt by anchor.  Per block a suffix array of all starts is built by prefix doubling up to `least` bytes; the
    previous and next smaller positions in suffix order are the nearest earlier matches, and LPF >= least holds where one of them
-   agrees in `least` bytes.  Positions follow the global order of the regions' first occurrences, so an earlier position is an earlier copy.
+   agrees in `least` bytes; the same with mirrored positions finds later matches, where every copy goes.  Positions follow the global order of the regions' first occurrences, so an earlier position is an earlier copy.
 3. An anchor with more than GROUP different regions (a passage in that many surroundings) isn't gathered: hashes of cells of CELL
    windows, then of the single windows at passages' edges, are counted by Spark, which decides the same question and spreads over all tasks.
 4. Spans return to their documents; a document's spans are merged and cut out.
 
 Null texts are empty; texts under `least` bytes are never touched; rows that agree in key and text count as copies of each other, and with keep_first share what is
-removed; an empty table gives no rows; columns of other names are ignored.
+removed; ties don't arise (places are ordered in full); very long texts are taken in pieces of PIECE bytes that overlap by a window, so nothing is lost at the cuts, and
+a text's spans, which meet in one row, are a few per cent of its length; an empty table gives no rows; columns of other names are ignored (`clean` carries them along).
 """
 
 from __future__ import annotations
@@ -165,25 +167,43 @@ def previous_smaller(v: np.ndarray) -> np.ndarray:
         at[wrong] = at[at[wrong]]
 
 
+def earlier_match(position: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where LPF >= least: the previous or the next smaller position in suffix order, the nearest earlier matches, agrees in `least` bytes
+    (has the same kind)."""
+    before = previous_smaller(position)
+    after = len(position) - 1 - previous_smaller(position[::-1])[::-1]  # next smaller
+    return (before >= 0) & (kind[np.maximum(before, 0)] == kind) | (after < len(position)) & (kind[np.minimum(after, len(position) - 1)] == kind)
+
+
 def repeated_starts(raw: np.ndarray, starts: np.ndarray, least: int, keep_first: bool) -> np.ndarray:
-    """Which of the window starts repeat: with keep_first those with LPF >= least, else those with any equal window."""
+    """Which of the window starts repeat: with keep_first those with LPF >= least, else also those with a later match (the same of mirrored places)."""
     rank = suffix_classes(raw, least)[starts]
     order = np.lexsort((starts, rank))
     position, kind = starts[order], rank[order]
-    if keep_first:
-        before = previous_smaller(position)
-        after = len(position) - 1 - previous_smaller(position[::-1])[::-1]  # next smaller
-        hit = (before >= 0) & (kind[np.maximum(before, 0)] == kind) | (after < len(position)) & (kind[np.minimum(after, len(position) - 1)] == kind)
-    else:
-        hit = np.zeros(len(kind), bool)
-        same = kind[1:] == kind[:-1]
-        hit[1:] |= same
-        hit[:-1] |= same
+    hit = earlier_match(position, kind)
+    if not keep_first:
+        hit |= earlier_match(-position, kind)
     out = np.zeros(len(starts), bool)
     out[order] = hit
     return out
 
 
+def within_texts(text: np.ndarray, first: np.ndarray, last: np.ndarray, ah: np.ndarray, rh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Regions that repeat inside one text: (rows to send on, how many regions each stands for, rows of the later copies)."""
+    order = np.lexsort((first, rh, ah, text))
+    fresh = np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in (text, ah, rh)], axis=0)] if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(fresh)
+    return order[fresh], np.diff(np.r_[at, len(order)]), order[~fresh]
+
+
+def joined_runs(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adjoining ranges of windows of a text made one: (text, first, last)."""
+    order = np.lexsort((first, text))
+    text, first, last = text[order], first[order], last[order]
+    cut = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (first[1:] > last[:-1] + 1)]) if len(order) else np.zeros(0, np.int64)
+    return text[cut], first[cut], last[np.r_[cut[1:] - 1, len(order) - 1]] if len(order) else last
+
+
 def _settle(df: DataFrame, least: int, keep_first: bool) -> DataFrame:
     """(ah, rh, first, last): window starts, relative to the region, that repeat among the regions of an anchor."""
     dealt = df.select("ah", "rh", "key", "text_hash", "s0", "region").repartition("ah").sortWithinPartitions("ah", "key", "text_hash", "s0")
@@ -283,14 +303,21 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False) -> Data
 
     def find(batch: pa.RecordBatch) -> dict:
         text, first, last, off, ah, rh = regions([t or b"" for t in text_bytes(batch)], least)
-        return {"key": batch.column(0).take(pa.array(text)), "text_hash": batch.column(2).take(pa.array(text)), "s0": first, "s1": last, "off": off, "ah": ah, "rh": rh}
-
-    every = durable(arrow_map(docs, find, f"key {kind}, text_hash long, s0 long, s1 long, off long, ah long, rh long"), "regions")
-    again = every.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah")
+        own, n, copies = within_texts(text, first, last, ah, rh)
+        gone, g0, g1 = joined_runs(text[copies], first[copies], last[copies])
+        none, rows = np.zeros(len(gone), np.int64), pa.array(np.r_[text[own], gone])
+        cols = {"key": batch.column(0).take(rows), "text_hash": batch.column(2).take(rows)}
+        return cols | {c: np.r_[x[own], y] for c, x, y in (("s0", first, g0), ("s1", last, g1), ("off", off, none), ("ah", ah, none), ("rh", rh, none))} | {"n": np.r_[n, none]}
+
+    # n: regions of the text that a row stands for; 0: windows known to repeat earlier in their text, in runs
+    every = durable(arrow_map(docs, find, f"key {kind}, text_hash long, s0 long, s1 long, off long, ah long, rh long, n long"), "regions")
+    known = every.where("n = 0").select("key", "text_hash", F.lit(0).cast("long").alias("first"), F.struct(F.col("s0").alias("start"), (F.col("s1") + least).alias("stop")).alias("spans"))
+    every = every.where("n > 0")
+    again = durable(every.groupBy("ah").agg(F.sum("n").alias("n")).where("n > 1").select("ah"), "again")  # a table, so that a crowded anchor's partition can be split
     seen = durable(every.join(again, "ah", "left_semi"), "repeated")
-    unique = seen.groupBy("ah", "rh").agg(F.count("*").alias("n"), F.min(F.struct("key", "text_hash", "s0", "s1", "off")).alias("one"))
+    unique = seen.groupBy("ah", "rh").agg(F.sum("n").alias("n"), F.min(F.struct("key", "text_hash", "s0", "s1", "off")).alias("one"))
     kinds = durable(unique, "kinds")
-    many = kinds.groupBy("ah").agg(F.count("*").alias("d")).where("d > 1")
+    many = durable(kinds.groupBy("ah").agg(F.count("*").alias("d")).where("d > 1"), "many")
     open_ = kinds.join(many, "ah").select("ah", "rh", "n", "d", "one.*")
     wanted = docs.join(open_.withColumnRenamed("key", "_key").withColumnRenamed("text_hash", "_hash"), (F.col("text_hash") == F.col("_hash")) & F.col("key").eqNullSafe(F.col("_key")))
     cut = F.substring(F.col("text").cast("binary"), F.col("s0").cast("int") + 1, (F.col("s1") - F.col("s0")).cast("int") + least)
@@ -305,7 +332,7 @@ def spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False) -> Data
     in_part = F.struct("key", "text_hash", "s0").eqNullSafe(F.col("one")) if keep_first else F.col("n") == 1
     first, last = F.when(in_part, F.col("p0")).otherwise(0), F.when(in_part, F.col("p1")).otherwise(F.col("s1") - F.col("s0"))
     bytes_ = here.select("key", "text_hash", first.alias("first"), F.struct((F.col("s0") + first).alias("start"), (F.col("s0") + last + least).alias("stop")).alias("spans")).where("first IS NOT NULL")
-    return bytes_.groupBy("key", "text_hash").agg(F.collect_list("spans").alias("spans"))
+    return bytes_.unionByName(known).groupBy("key", "text_hash").agg(F.collect_list("spans").alias("spans"))
 
 
 def merged(own: list[dict] | None) -> list[tuple[int, int]]:

@@ -185,6 +185,35 @@ def test_repeats_by_brute_force(spark, monkeypatch, group, first):
     assert got == brute_repeats([(k, t.encode()) for k, t in docs], 40, first)
 
 
+def test_suffix_query_on_planted_passages(spark, tmp_path):
+    """The query itself at 400 bytes, on documents with passages that they share, repeated rows, nulls and long runs of one letter."""
+    import hashlib
+
+    rng = random.Random(9)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijklé") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passages = [own(rng.randrange(70, 160)) for _ in range(6)]
+    docs = [(k, f"{own(60)} {passages[k % 6]} {own(80)}") for k in range(30)] + [(100 + k, own(300)) for k in range(8)]
+    docs += [(200, None), (201, ""), (202, "ab" * 700), (203, own(40) + "xyz" * 300), (204, docs[0][1]), (205, passages[0])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = brute_repeats([(k, (t or "").encode()) for k, t in docs], 400, False)
+    got = {r.doc_id: r for r in registry.QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).collect()}
+    for k, t in docs:
+        r, left = got[k], expected[k]
+        assert (r.n_bytes, r.n_removed, r.n_kept, r.kept_sha256) == (len((t or "").encode()), len((t or "").encode()) - len(left), len(left), hashlib.sha256(left).hexdigest())
+        assert 100 <= k < 200 or len(left) < len((t or "").encode()) or k in (200, 201)
+        assert r.text == left.decode("utf-8", "replace")
+
+
+def test_a_long_text_of_one_letter(spark):
+    """A text of 2 MB of one letter is one run of two rows, not a row a window."""
+    docs = [(1, "x" * 2_000_000), (2, "y" * 300), (3, "x" * 500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, len(r.spans), r.n_bytes) for r in suffix_dedup.remove_repeats(df, 400).collect()}
+    assert got == {1: (2_000_000, 1, 2_000_000), 2: (0, 0, 300), 3: (500, 1, 500)}
+    first = {r.doc_id: r.text for r in suffix_dedup.clean(df, 400).collect()}
+    assert first == {1: "x", 2: "y" * 300, 3: ""}  # each window but the first starts later than an equal one
+
+
 @pytest.mark.parametrize("group", [256, 2])
 def test_first_copies_stay_where_rows_repeat(spark, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
