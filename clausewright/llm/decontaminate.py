@@ -3,24 +3,30 @@
 Texts and items become words (`[0-9a-z]` and everything beyond ASCII, A-Z lower-cased).  For an item of m words every window
 of m consecutive words of a document is compared with the item; a document of fewer words is one window, its whole text:
 
-1. The weight of the item's shingles that a window holds bounds their similarity from above; windows whose bound is below the
-   threshold are passed over (an exact prefilter: most windows share no five-word shingle with any item).
-2. A window's and an item's fingerprints are 64-bit SimHashes of their weighted shingles.  Fingerprints are cut into eight blocks
-   of eight bits; two fingerprints within Hamming distance RADIUS agree in some block up to RADIUS // 8 bits, so looking up each
-   block's neighbours at that distance finds every fingerprint within the radius, none excepted.
+1. A window's and an item's fingerprints are 128-bit SimHashes of their weighted five-word shingles (64-bit hashes), made for all windows of a
+   size at once from running sums of votes.  A vote is the square root of the shingle's weight, so that the cosine of two vectors of votes is at least
+   0.88 where the similarity is 0.8, however unequal the weights are.  A window of which less than `threshold` of its own weight is in shingles that any item has at all can't
+   match whatever item and gets no fingerprint (an exact bound; it asks nothing about which item).
+2. Candidates are the items of the window's size whose fingerprints lie within Hamming distance RADIUS.  Fingerprints are cut into
+   16 blocks of eight bits; two within RADIUS agree in some block up to RADIUS // 16 bits, so looking up each block among the
+   values that near to items' blocks finds every fingerprint within the radius, none excepted.
 3. Candidates are verified by exact weighted Jaccard similarity of their shingle multisets: sum of minima over sum of
-   maxima, a shingle weighing ln(1 + items / items that have it) (unknown shingles as if in one item).  A pair of at least `threshold` is a match.
+   maxima, a shingle weighing ln(1 + items / items that have it) (unknown shingles as if in one item).  A pair of at least `threshold` (less 1e-9, for rounding) is a match.
+
+At a similarity of 0.8 fingerprints differ in 19 bits of 128 on average (deviation 4), so RADIUS = 47, nearly seven deviations more, misses next to
+nothing; those of unrelated windows differ in 64 (deviation 5.7).
 
 Items of fewer than five words are one shingle, their whole sequence.  Items and texts that are null or without words match nothing;
-equal items match alike, each under its own id; repeated documents match alike; empty tables give no rows.  Items go to the workers in
-blocks of at most BLOCK_BYTES of text, whatever the size of the item table; documents aren't shuffled.  Weights are those of the whole
-item table in every block: the number of items and of holders of each shared shingle are counted once and go along with each block.
+equal items match alike, each under its own id; of windows with equal similarity (ties) the earliest is told; repeated documents match alike; empty tables
+give no rows; other columns are ignored (`clean` carries them along).  Texts are searched whole: memory for fingerprints is bounded by SPAN positions at a time.
+Items go to the workers in blocks of at most BLOCK_BYTES of text, one block after another, whatever the size of the item table; documents
+aren't shuffled.  Weights are those of the whole item table in every block: how many items there are and how many hold each shared
+shingle is counted once by Spark and goes along with each block (12 bytes a shared shingle).
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,156 +36,196 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pick, text_bytes
+from .common import arrow_filter, arrow_map, durable, mix64, pick, text_bytes
 
-SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
-BLOCK_BYTES = 32 << 20
+SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 47
+BITS, PARTS = 128, 16
+BLOCK_BYTES = 8 << 20
+#: Shingle places whose votes are summed at once.
+SPAN = 1 << 13
 _WORD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
-#: A block's neighbours: all eight-bit masks of at most RADIUS // 8 bits.
-MASKS = [sum(1 << b for b in bits) for n in range(RADIUS // 8 + 1) for bits in combinations(range(8), n)]
+#: A block's neighbours: all eight-bit masks of at most RADIUS // PARTS bits.
+MASKS = [sum(1 << b for b in bits) for n in range(RADIUS // PARTS + 1) for bits in combinations(range(8), n)]
+_BITS = np.arange(64, dtype=np.uint64)
 
 
 def words(raw: bytes) -> list[bytes]:
     return raw.translate(_WORD).split()
 
 
-def simhash(shingles: dict[tuple, float]) -> int:
-    """The sign of each bit's weighted vote; a tie counts as 1."""
-    if not shingles:
-        return 0
-    h = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(s)) for s in shingles), np.uint64, len(shingles))
-    w = np.fromiter(shingles.values(), np.float64, len(shingles))
-    votes = ((h[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(np.float64) * 2 - 1).T @ w
-    return int(((votes >= 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+def word_codes(w: list[bytes]) -> np.ndarray:
+    code = {x: xxhash.xxh3_64_intdigest(x) | 1 for x in set(w)}
+    return np.fromiter(map(code.__getitem__, w), np.uint64, len(w))
+
+
+def shingles(codes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the `width` words from each place on."""
+    n = len(codes) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    acc = np.full(n, width, np.uint64)
+    for j in range(width):
+        acc = mix64(acc + codes[j : n + j])
+    return acc
+
+
+def votes(h: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each shingle's vote on each bit; in whole 4096ths, so that running sums are exact."""
+    w = np.rint(np.sqrt(weight) * 4096).astype(np.int64)[:, None]
+    return np.concatenate([np.where(x[:, None] >> _BITS & np.uint64(1), w, -w) for x in (h, mix64(h + np.uint64(1)))], axis=1)
+
+
+def signs(sums: np.ndarray) -> np.ndarray:
+    """SimHashes, as 16 bytes each; a tie counts as 1."""
+    return np.packbits(sums >= 0, axis=1)
+
 
+class Blocks:
+    """Multi-index of fingerprints: for each block, the items near each of its 256 values."""
 
-def shingles(w: list[bytes], shingle: int = SHINGLE) -> list[tuple]:
-    m = min(shingle, len(w))
-    return [tuple(w[i : i + m]) for i in range(len(w) - m + 1)]
+    def __init__(self, prints: np.ndarray):
+        self.prints, self.lists = prints.reshape(-1, PARTS), []
+        for b in range(PARTS):
+            own = self.prints[:, b]
+            value = np.concatenate([own ^ np.uint8(m) for m in MASKS])
+            item = np.tile(np.arange(len(own), dtype=np.int32), len(MASKS))
+            order = np.argsort(value, kind="stable")
+            self.lists.append((np.searchsorted(value[order], np.arange(257)), item[order]))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every (fingerprint, item) within RADIUS, by place."""
+        asked, found = [], []
+        for b, (starts, item) in enumerate(self.lists):
+            v = prints[:, b].astype(np.int64)
+            n = starts[v + 1] - starts[v]
+            asked.append(np.repeat(np.arange(len(prints)), n))
+            found.append(item[np.repeat(starts[v] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
+        pair = np.unique(np.concatenate(asked) * len(self.prints) + np.concatenate(found))
+        q, k = pair // len(self.prints), pair % len(self.prints)
+        ok = np.bitwise_count(prints[q] ^ self.prints[k]).sum(axis=1, dtype=np.int64) <= RADIUS
+        return q[ok], k[ok]
 
 
 class Index:
-    """One block of items.  `counted`: the whole table's items and the holders of its shared shingles, where the block isn't the whole table."""
+    """One block of items.  `counted`: the whole table's number of items, shared shingles (sorted) and how many items hold each."""
 
-    def __init__(self, items: list[tuple], shingle: int = SHINGLE, threshold: float = THRESHOLD, counted: tuple[int, dict[tuple, int]] | None = None):
+    def __init__(self, items: list[tuple], shingle: int = SHINGLE, threshold: float = THRESHOLD, counted: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.threshold, self.shingle = threshold, shingle
         self.items = [(i, w) for i, t in items if (w := words((t or "").encode()))]
-        self.vocabulary = {}
-        for _, w in self.items:
-            for x in w:
-                self.vocabulary.setdefault(x, len(self.vocabulary) + 1)
-        self.grams = [Counter(self.cut(w)) for _, w in self.items]
-        n, held = counted or (len(self.items), Counter(s for g in self.grams for s in g))
-        n = max(1, n)
-        self.weight = {s: math.log(1 + n / k) for s, k in held.items() if k > 1}  # one item's weigh as unknown ones
-        self.unknown = math.log(1 + n)
-        self.prints = [simhash(self.weighted(g)) for g in self.grams]
-        self.blocks: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(8)]
-        for k, f in enumerate(self.prints):
-            for b in range(8):
-                self.blocks[b][f >> 8 * b & 255].append(k)
-        self.total = [sum(self.weighted(g).values()) for g in self.grams]
-        #: shingle -> items that have it
-        self.where: dict[tuple, list[int]] = defaultdict(list)
-        for k, g in enumerate(self.grams):
-            for s in g:
-                self.where[s].append(k)
-        self.widths = sorted({min(self.shingle, len(w)) for _, w in self.items})
-        self.codes = {m: np.unique(np.array([self.code(map(self.vocabulary.__getitem__, s)) for s in self.where if len(s) == m], np.uint64)) for m in self.widths}
-
-    def cut(self, w: list[bytes]) -> list[tuple]:
-        return shingles(w, self.shingle)
-
-    def code(self, ids) -> int:
-        h = 0
-        for x in ids:
-            h = (h * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
-        return h
-
-    def weighted(self, grams: dict) -> dict:
-        return {s: c * self.weight.get(s, self.unknown) for s, c in grams.items()}
-
-    def near(self, print_: int) -> set[int]:
-        """Items whose fingerprints are within RADIUS."""
-        found = {k for b in range(8) for mask in MASKS for k in self.blocks[b].get((print_ >> 8 * b & 255) ^ mask, ())}
-        return {k for k in found if (self.prints[k] ^ print_).bit_count() <= RADIUS}
-
-    def similarity(self, grams: dict, k: int) -> float:
-        a, b = self.weighted(grams), self.weighted(self.grams[k])
-        both = sum(min(v, b[s]) for s, v in a.items() if s in b)
-        total = sum(a.values()) + sum(b.values()) - both
+        self.vocabulary: dict[bytes, int] = {x: xxhash.xxh3_64_intdigest(x) | 1 for _, w in self.items for x in w}
+        grams = [shingles(word_codes(w), self.width(len(w))) for _, w in self.items]
+        if counted is None:
+            known, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, grams)]), return_counts=True)
+            counted = len(self.items), known[held > 1], held[held > 1]
+        n, self.shared, held = counted
+        self.unknown = math.log(1 + max(1, n))
+        self.shared_weight = np.log(1 + max(1, n) / held)  # a shingle that only one item holds weighs as an unknown one
+        self.grams = [np.unique(g, return_counts=True) for g in grams]
+        self.total = [float((c * self.weigh(g)).sum()) for g, c in self.grams]
+        prints = [signs(votes(g, self.weigh(g)).sum(axis=0)[None, :])[0] for g in grams]
+        #: item lengths: the items of that length and their fingerprints
+        self.sizes: dict[int, tuple[np.ndarray, Blocks]] = {}
+        for m in sorted({len(w) for _, w in self.items}):
+            own = np.array([k for k, (_, w) in enumerate(self.items) if len(w) == m])
+            self.sizes[m] = own, Blocks(np.array([prints[k] for k in own], np.uint8))
+        self.known = {m: np.unique(np.concatenate([g for g, (_, w) in zip(grams, self.items, strict=True) if self.width(len(w)) == m])) for m in {self.width(len(w)) for _, w in self.items}}
+
+    def width(self, n: int) -> int:
+        return min(self.shingle, n)
+
+    def weigh(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.unknown)
+        if len(self.shared):
+            at = np.searchsorted(self.shared, h).clip(0, len(self.shared) - 1)
+            hit = self.shared[at] == h
+            out[hit] = self.shared_weight[at[hit]]
+        return out
+
+    def similarity(self, window: np.ndarray, k: int) -> float:
+        """Exact weighted Jaccard similarity of a window's shingles and an item."""
+        h, c = np.unique(window, return_counts=True)
+        g, d = self.grams[k]
+        _, x, y = np.intersect1d(h, g, assume_unique=True, return_indices=True)
+        w = self.weigh(h)
+        both = float((np.minimum(c[x], d[y]) * w[x]).sum())
+        total = float((c * w).sum()) + self.total[k] - both
         return both / total if total else 0.0
 
     def search(self, raw: bytes) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, words) of the best window of each item that matches; the earliest of equals."""
         w = words(raw)
-        get = self.vocabulary.get
-        ids = np.fromiter((get(x, 0) for x in w), np.uint64, len(w))
-        held: dict[int, list[tuple[int, float]]] = defaultdict(list)  # item -> places and weights of its shingles
-        for m in self.widths:
-            if len(w) < m:
+        n = len(w)
+        ids = np.fromiter((self.vocabulary.get(x, 0) for x in w), np.uint64, n)
+        found: dict[int, tuple] = {}
+        for m in sorted(self.known):
+            if n < m:
                 continue
-            h, known = np.zeros(len(w) - m + 1, np.uint64), np.ones(len(w) - m + 1, bool)
-            for j in range(m):
-                part = ids[j : len(w) - m + 1 + j]
-                h = h * np.uint64(0x9E3779B97F4A7C15) + part
-                known &= part > 0
-            at = np.flatnonzero(known)
-            if not len(at) or not len(self.codes[m]):
+            whole = np.convolve(ids == 0, np.ones(m, np.int64), "valid") == 0  # shingles of items' words only
+            at = np.flatnonzero(whole)
+            if not len(at):
                 continue
-            place = np.searchsorted(self.codes[m], h[at]).clip(0, len(self.codes[m]) - 1)
-            for p in at[self.codes[m][place] == h[at]].tolist():
-                gram = tuple(w[p : p + m])
-                for k in self.where.get(gram, ()):
-                    held[k].append((p, self.weight.get(gram, self.unknown)))
-        starts: dict[int, list[int]] = {}
-        for k, own in held.items():
-            size, m = len(self.items[k][1]), min(self.shingle, len(self.items[k][1]))
-            places = np.array([p for p, _ in own])
-            upto = np.concatenate([[0.0], np.cumsum([x for _, x in own])])
-            first, last = max(0, places[0] + m - size), max(0, min(places[-1], len(w) - size))
-            p = np.arange(first, last + 1)
-            inside = upto[np.searchsorted(places, p + size - m, "right")] - upto[np.searchsorted(places, p)]
-            if len(good := p[inside >= self.threshold * self.total[k] - 1e-9]):
-                starts[k] = good.tolist()
-        found, seen = {}, {}
-        for k, where in starts.items():
-            size = min(len(self.items[k][1]), len(w))
-            for p in where:
-                if (p, size) not in seen:
-                    grams = Counter(self.cut(w[p : p + size]))
-                    seen[p, size] = grams, self.near(simhash(self.weighted(grams)))
-                grams, near = seen[p, size]
-                if k in near and (s := self.similarity(grams, k)) >= self.threshold and s > found.get(k, (0,))[0]:
-                    found[k] = (s, p, size)
+            h = np.zeros(n - m + 1, np.uint64)
+            h[at] = shingles(ids, m)[at]
+            place = np.searchsorted(self.known[m], h[at]).clip(0, len(self.known[m]) - 1)
+            at = at[self.known[m][place] == h[at]]
+            if len(at):
+                self._windows(w, m, at, found)
         return [(k, *v) for k, v in sorted(found.items())]
 
+    def _windows(self, w: list[bytes], m: int, at: np.ndarray, found: dict[int, tuple]) -> None:
+        """Match the windows around the known shingles (of m words, at the places `at`)."""
+        n, h = len(w), shingles(word_codes(w), m)
+        weight = self.weigh(h)
+        known = np.zeros(len(h))
+        known[at] = weight[at]
+        total, held = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weight, known))
+        for size, (items, blocks) in self.sizes.items():
+            if self.width(size) != m:
+                continue
+            span = min(size, n)
+            count = span - m + 1  # shingles of a window
+            p = np.arange(max(0, at[0] + m - span), min(at[-1], n - span) + 1)
+            good = p[held[p + count] - held[p] >= self.threshold * (total[p + count] - total[p]) - 1e-9]
+            while len(good):
+                part = good[good < good[0] + SPAN]
+                good = good[len(part) :]
+                lo, hi = int(part[0]), int(part[-1]) + count
+                sums = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(votes(h[lo:hi], weight[lo:hi]), axis=0)])
+                prints = signs(sums[part - lo + count] - sums[part - lo])
+                for q, k in zip(*(x.tolist() for x in blocks.near(prints)), strict=True):
+                    item, begin = int(items[k]), int(part[q])
+                    s = self.similarity(h[begin : begin + count], item)
+                    if s >= self.threshold - 1e-9 and s > found.get(item, (0.0,))[0]:
+                        found[item] = (s, begin, span)
+
 
 def _blocks(items: DataFrame) -> list[DataFrame]:
-    """The item table in parts of at most about BLOCK_BYTES, by a hash of the text."""
+    """The item table in parts of about BLOCK_BYTES, by a hash of id and text."""
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = int(size // BLOCK_BYTES) + 1
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
+    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _counted(items: DataFrame) -> tuple[int, dict[tuple, int]]:
-    """Items with words, and for each shingle that several of them have, how many do."""
+def _counted(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Items with words, and the shingles that several of them have with how many do."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        # an empty row stands for the item itself
-        return {"gram": [x for t in text_bytes(batch) if (w := words(t or b"")) for x in (b"", *{b" ".join(s) for s in shingles(w)})]}
+        grams = [np.unique(shingles(word_codes(w), min(SHINGLE, len(w)))).view(np.int64) for t in text_bytes(batch) if (w := words(t or b""))]
+        return {"gram": np.concatenate([np.zeros(0, np.int64), *grams])}
 
-    n = arrow_map(items, run, "gram binary").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1 OR octet_length(gram) = 0")
-    held = {bytes(r["gram"]): r["n"] for r in n.toLocalIterator()}
-    return held.pop(b"", 0), {tuple(g.split(b" ")): k for g, k in held.items()}
+    n = arrow_map(items, lambda b: {"n": [sum(1 for t in text_bytes(b) if words(t or b""))]}, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    held = arrow_map(items, run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").toPandas()
+    gram = held["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(gram)
+    return n, gram[order], held["n"].to_numpy(np.int64)[order]
 
 
-def _indexes(items: DataFrame, threshold: float) -> Iterator[Index]:
-    """An index of each block, all with the weights of the whole table."""
+def _indexes(items: DataFrame, threshold: float) -> Iterator[tuple[Index, bool]]:
+    """An index of each block, all with the weights of the whole table, and whether it is the only one."""
     parts = _blocks(items)
     counted = _counted(items) if len(parts) > 1 else None
     for part in parts:
-        yield Index([tuple(r) for r in part.collect()], threshold=threshold, counted=counted)
+        yield Index([tuple(r) for r in part.collect()], threshold=threshold, counted=counted), len(parts) == 1
 
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -188,8 +234,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     wanted = pick(items, item=item, text=item_text).where(F.col("text").isNotNull())
     kind, item_kind = rows.schema["key"].dataType.simpleString(), wanted.schema["item"].dataType.simpleString()
     out = None
-    for block in _indexes(wanted, threshold):
-        index = docs.sparkSession.sparkContext.broadcast(block)
+    for block, alone in _indexes(wanted, threshold):
+        index = docs.sparkSession.sparkContext.broadcast(block)  # of BLOCK_BYTES of text, about
 
         def run(batch: pa.RecordBatch, index=index) -> dict:
             own = index.value
@@ -201,6 +247,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
             return cols
 
         made = arrow_map(rows, run, f"key {kind}, item_id {item_kind}, similarity double, first_word long, n_words long")
+        if not alone:  # one block after another: this one's broadcast can go
+            made = durable(made, "matches")
+            index.unpersist()
         out = made if out is None else out.unionByName(made)
     return out.withColumnRenamed("key", key)
 
@@ -209,14 +258,10 @@ def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """The documents that match no item, with all their columns.  Rows are judged one by one, so null or repeated keys don't matter."""
     wanted = pick(items, item=item, text=item_text).where(F.col("text").isNotNull())
     out = docs
-    for block in _indexes(wanted, threshold):
+    for block, alone in _indexes(wanted, threshold):
         index = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, index=index):
-            for batch in batches:
-                yield batch.filter(pa.array([not (t and index.value.search(t)) for t in text_bytes(batch, text)], pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
+        out = arrow_filter(out, lambda batch, index=index: [not (t and index.value.search(t)) for t in text_bytes(batch, text)], text)
+        if not alone:
+            out = durable(out, "clean")
+            index.unpersist()
     return out
-
-

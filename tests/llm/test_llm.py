@@ -250,6 +250,31 @@ def test_bpe_equals_tiktoken():
     assert own.offsets(ids[-1])[-1] == 5000
 
 
+def brute_matches(docs, items):
+    """(document, item) pairs at a weighted similarity of 0.8, written from the definition alone: tuples, Counters, every window."""
+    import math
+
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
+    five = lambda w: Counter(tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1))
+    own = [(k, split(t)) for k, t in items if split(t)]
+    held = Counter(g for _, w in own for g in five(w))
+    weight = lambda g: math.log(1 + len(own) / max(1, held[g]))
+    found = {}
+    for d, t in docs:
+        w = split(t)
+        for k, item in own:
+            b, n, m = five(item), min(len(item), len(w)), min(5, len(item))
+            if not b.keys() & {tuple(w[i : i + m]) for i in range(len(w) - m + 1)}:
+                continue
+            for i in range(len(w) - n + 1 if n else 0):
+                a = five(w[i : i + n])
+                if a.keys() & b.keys():
+                    s = sum(v * weight(g) for g, v in (a & b).items()) / sum(v * weight(g) for g, v in (a | b).items())
+                    if s >= 0.8 - 1e-9 and s > found.get((d, k), (0,))[0] + 1e-12:
+                        found[d, k] = s, i, n
+    return found
+
+
 def test_decontamination_by_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
@@ -257,17 +282,26 @@ def test_decontamination_by_brute_force(spark):
     for k, t in items[:8]:  # with a word changed, and with one more at the end
         w = t.split()
         docs += [(1000 + k, "front words here " + " ".join([*w[:-1], "changed"]) + " back"), (2000 + k, " ".join(rng.sample(w, len(w))))]
-    index = decontaminate.Index(items)
-    split = lambda t: decontaminate.words(t.encode())
-    expected = set()
-    for k, t in docs:
-        w = split(t)
-        for n, (item, own) in enumerate(index.items):
-            best = max((index.similarity(Counter(index.cut(w[i : i + len(own)])), n) for i in range(max(0, len(w) - len(own) + 1))), default=0)
-            if best >= 0.8:
-                expected.add((k, item))
+    docs += [(3000, f"{items[0][1]} and {items[1][1]} and {items[0][1]}"), (3001, None), (3002, "")]
+    expected = brute_matches(docs, items)
     got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == expected and expected
+    assert {(r.doc_id, r.item_id): (r.first_word, r.n_words) for r in got} == {k: v[1:] for k, v in expected.items()} and expected
+    assert all(abs(r.similarity - expected[r.doc_id, r.item_id][0]) < 1e-9 for r in got)
+    assert all((1000 + k, k) in expected and (2000 + k, k) not in expected for k, t in items[:8] if len(t.split()) > 30)
+
+
+def test_every_fingerprint_within_the_radius_is_found():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 256, (300, decontaminate.PARTS), dtype=np.uint8)
+    asked = []
+    for n in (0, 5, 46, 47, 48):
+        for x in prints[:60]:
+            bits = np.unpackbits(x)
+            bits[rng.choice(decontaminate.BITS, n, replace=False)] ^= 1
+            asked.append(np.packbits(bits))
+    got = set(zip(*(x.tolist() for x in decontaminate.Blocks(prints).near(np.array(asked))), strict=True))
+    whole = lambda x: int.from_bytes(x.tobytes(), "big")
+    assert got == {(i, k) for i, x in enumerate(asked) for k, y in enumerate(prints) if (whole(x) ^ whole(y)).bit_count() <= decontaminate.RADIUS} and len(got) >= 240
 
 
 def test_decontamination_of_texts_shorter_than_the_item(spark):
@@ -299,7 +333,7 @@ def test_decontamination_whatever_the_number_of_blocks(spark, monkeypatch):
     docs_, items_ = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = lambda: sorted((r.doc_id, r.item_id, r.similarity, r.first_word, r.n_words) for r in decontaminate.matches(docs_, items_).collect())
     whole = found()
-    assert 0 < len(whole) < len(docs)
+    assert 0 < len(whole) < len(docs) and {x[:2] for x in whole} == set(brute_matches(docs, items))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", sum(len(t or "") for _, t in items) // 4)
     assert len(decontaminate._blocks(items_.where("text IS NOT NULL"))) > 3
     blocks = found()
