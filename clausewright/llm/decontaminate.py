@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,29 +81,30 @@ def signs(sums: np.ndarray) -> np.ndarray:
 
 
 class Blocks:
-    """Multi-index of fingerprints: for each block, the items near each of its 256 values."""
+    """Multi-index of fingerprints: for each block, the items near each of its 256 values, by the items' group."""
 
-    def __init__(self, prints: np.ndarray):
+    def __init__(self, prints: np.ndarray, group: np.ndarray):
         self.prints, self.lists = prints.reshape(-1, PARTS), []
         for b in range(PARTS):
             own = self.prints[:, b]
-            value = np.concatenate([own ^ np.uint8(m) for m in MASKS])
+            value = np.concatenate([group * 256 + (own ^ np.uint8(m)) for m in MASKS])
             item = np.tile(np.arange(len(own), dtype=np.int32), len(MASKS))
             order = np.argsort(value, kind="stable")
-            self.lists.append((np.searchsorted(value[order], np.arange(257)), item[order]))
+            self.lists.append((np.searchsorted(value[order], np.arange(256 * (int(group.max(initial=0)) + 1) + 1)), item[order]))
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every (fingerprint, item) within RADIUS, by place."""
-        asked, found = [], []
+    def near(self, prints: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every (fingerprint, item) of one group within RADIUS, by place."""
+        pairs = []
         for b, (starts, item) in enumerate(self.lists):
-            v = prints[:, b].astype(np.int64)
+            v = group * 256 + prints[:, b]
             n = starts[v + 1] - starts[v]
-            asked.append(np.repeat(np.arange(len(prints)), n))
-            found.append(item[np.repeat(starts[v] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-        pair = np.unique(np.concatenate(asked) * len(self.prints) + np.concatenate(found))
+            own = item[np.repeat(starts[v] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            pairs.append(np.repeat(np.arange(len(prints)) * len(self.prints), n) + own)
+        pair = np.concatenate(pairs)
         q, k = pair // len(self.prints), pair % len(self.prints)
         ok = np.bitwise_count(prints[q] ^ self.prints[k]).sum(axis=1, dtype=np.int64) <= RADIUS
-        return q[ok], k[ok]
+        pair = np.unique(pair[ok])
+        return pair // len(self.prints), pair % len(self.prints)
 
 
 class Index:
@@ -123,11 +124,8 @@ class Index:
         self.grams = [np.unique(g, return_counts=True) for g in grams]
         self.total = [float((c * self.weigh(g)).sum()) for g, c in self.grams]
         prints = [signs(votes(g, self.weigh(g)).sum(axis=0)[None, :])[0] for g in grams]
-        #: item lengths: the items of that length and their fingerprints
-        self.sizes: dict[int, tuple[np.ndarray, Blocks]] = {}
-        for m in sorted({len(w) for _, w in self.items}):
-            own = np.array([k for k, (_, w) in enumerate(self.items) if len(w) == m])
-            self.sizes[m] = own, Blocks(np.array([prints[k] for k in own], np.uint8))
+        self.sizes = sorted({len(w) for _, w in self.items})
+        self.blocks = Blocks(np.array(prints, np.uint8), np.searchsorted(self.sizes, [len(w) for _, w in self.items]))
         self.known = {m: np.unique(np.concatenate([g for g, (_, w) in zip(grams, self.items, strict=True) if self.width(len(w)) == m])) for m in {self.width(len(w)) for _, w in self.items}}
 
     def width(self, n: int) -> int:
@@ -155,7 +153,7 @@ class Index:
         """(item, similarity, first word, words) of the best window of each item that matches; the earliest of equals."""
         w = words(raw)
         n = len(w)
-        ids = np.fromiter((self.vocabulary.get(x, 0) for x in w), np.uint64, n)
+        ids = np.fromiter(map(self.vocabulary.get, w, repeat(0)), np.uint64, n)
         found: dict[int, tuple] = {}
         for m in sorted(self.known):
             if n < m:
@@ -179,31 +177,38 @@ class Index:
         known = np.zeros(len(h))
         known[at] = weight[at]
         total, held = (np.concatenate([[0.0], np.cumsum(x)]) for x in (weight, known))
-        for size, (items, blocks) in self.sizes.items():
-            if self.width(size) != m:
+        tried: list[tuple[np.ndarray, int, int]] = []  # window starts, shingles of a window, group of items
+        for group, size in enumerate(self.sizes):
+            if self.width(size) == m:
+                span = min(size, n)
+                count = span - m + 1
+                p = np.arange(max(0, at[0] + m - span), min(at[-1], n - span) + 1)
+                good = p[held[p + count] - held[p] >= self.threshold * (total[p + count] - total[p]) - 1e-9]
+                if len(good):
+                    tried.append((good, count, group))
+        if not tried:
+            return
+        for lo in range(min(int(p[0]) for p, _, _ in tried), max(int(p[-1]) for p, _, _ in tried) + 1, SPAN):
+            part = [(p[(p >= lo) & (p < lo + SPAN)], count, group) for p, count, group in tried]
+            begin = np.concatenate([p for p, _, _ in part])
+            if not len(begin):
                 continue
-            span = min(size, n)
-            count = span - m + 1  # shingles of a window
-            p = np.arange(max(0, at[0] + m - span), min(at[-1], n - span) + 1)
-            good = p[held[p + count] - held[p] >= self.threshold * (total[p + count] - total[p]) - 1e-9]
-            while len(good):
-                part = good[good < good[0] + SPAN]
-                good = good[len(part) :]
-                lo, hi = int(part[0]), int(part[-1]) + count
-                sums = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(votes(h[lo:hi], weight[lo:hi]), axis=0)])
-                prints = signs(sums[part - lo + count] - sums[part - lo])
-                for q, k in zip(*(x.tolist() for x in blocks.near(prints)), strict=True):
-                    item, begin = int(items[k]), int(part[q])
-                    s = self.similarity(h[begin : begin + count], item)
-                    if s >= self.threshold - 1e-9 and s > found.get(item, (0.0,))[0]:
-                        found[item] = (s, begin, span)
+            count, group = (np.repeat([x[k] for x in part], [len(x[0]) for x in part]) for k in (1, 2))
+            lo, hi = int(begin.min()), int((begin + count).max())
+            sums = np.concatenate([np.zeros((1, BITS), np.int64), np.cumsum(votes(h[lo:hi], weight[lo:hi]), axis=0)])
+            prints = signs(sums[begin - lo + count] - sums[begin - lo])
+            for q, k in zip(*(x.tolist() for x in self.blocks.near(prints, group)), strict=True):
+                p, c = int(begin[q]), int(count[q])
+                s = self.similarity(h[p : p + c], k)
+                if s >= self.threshold - 1e-9 and (s, -p) > found.get(k, (0.0,))[:1] + (-found.get(k, (0.0, 0))[1],):
+                    found[k] = (s, p, c + m - 1)
 
 
 def _blocks(items: DataFrame) -> list[DataFrame]:
     """The item table in parts of about BLOCK_BYTES, by a hash of id and text."""
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = int(size // BLOCK_BYTES) + 1
-    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64(*items.columns), F.lit(n)) == k) for k in range(n)]
 
 
 def _counted(items: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:

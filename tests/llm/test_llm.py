@@ -299,7 +299,8 @@ def test_every_fingerprint_within_the_radius_is_found():
             bits = np.unpackbits(x)
             bits[rng.choice(decontaminate.BITS, n, replace=False)] ^= 1
             asked.append(np.packbits(bits))
-    got = set(zip(*(x.tolist() for x in decontaminate.Blocks(prints).near(np.array(asked))), strict=True))
+    none = np.zeros(300, np.int64)
+    got = set(zip(*(x.tolist() for x in decontaminate.Blocks(prints, none).near(np.array(asked), none)), strict=True))
     whole = lambda x: int.from_bytes(x.tobytes(), "big")
     assert got == {(i, k) for i, x in enumerate(asked) for k, y in enumerate(prints) if (whole(x) ^ whole(y)).bit_count() <= decontaminate.RADIUS} and len(got) >= 240
 
