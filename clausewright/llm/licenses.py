@@ -1,24 +1,27 @@
 """Operator 4 (native): licence scans by ordered signature rules, in DataFrame functions only.
 
 A text becomes words (`[0-9a-z]` and everything beyond ASCII, A-Z lower-cased) joined by single spaces.  A rule is a regular expression over that
-line, a keyword without which it can't match, a label, a priority (1 is best) and a score.  A text is scanned when it holds "licen" or
-the keyword of a family with rules without it, and only the rules of families whose keyword (and "licen" where all their rules have it) it holds are run.  Each match is an interval of words.  A detection is suppressed if its interval lies within that of
+line (they are written out in signatures.py), a keyword without which it can't match, a label, a priority (1 is best) and a score.  A text is scanned when it holds a word that begins with "licen" or
+the keyword of a family with rules without such a word, and only the rules of families whose keyword (and "licen" where all their rules have it) it holds are run.  Each match is an interval of words.  A detection is suppressed if its interval lies within that of
 another detection of the same or a better priority (of equal intervals the earlier rule stays); what remains gives the labels.
 
 Base phrases are rules too; all of their places are reported whether suppressed or not, and their labels always stay.
 
-Null and empty texts have no words and no labels; repeated rows give equal results; an empty table gives no rows; other columns are ignored.
+Null and empty texts have no words and no labels; of equal intervals (ties) the better priority, then the earlier rule stays; very long texts are scanned
+whole, in time that grows with the text and with the matches to the power 1.5; repeated rows give equal results; an empty table gives no rows; other columns are ignored.
 Everything is computed in the row itself: no shuffle, no state.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import signatures
 from .common import pick
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,132 +43,69 @@ class Rule:
 #: Phrases with fixed labels, by contract.
 BASE = (("gnu", "gnu general public license", "gpl"), ("apache", "apache license", "apache"), ("cc", "cc by", "cc-by"), ("mit", "mit license", "mit"))
 
-#: keyword, label, names, versions (words).  A name is a regular expression over words.
-FAMILIES: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
-    ("gnu", "gpl", ("gnu general public licen[cs]e", "gnu gpl"), ("1", "2", "3", "2 0", "3 0")),
-    ("gpl", "gpl", ("gpl",), ("1", "2", "3", "2 0", "3 0")),
-    ("lesser", "lgpl", ("(?:gnu )?lesser general public licen[cs]e",), ("2 1", "3", "3 0")),
-    ("library", "lgpl", ("(?:gnu )?library general public licen[cs]e",), ("2", "2 0")),
-    ("lgpl", "lgpl", ("(?:gnu )?lgpl",), ("2", "2 1", "3", "3 0")),
-    ("affero", "agpl", ("(?:gnu )?affero general public licen[cs]e",), ("1", "3", "3 0")),
-    ("agpl", "agpl", ("(?:gnu )?agpl",), ("3", "3 0")),
-    ("documentation", "gfdl", ("(?:gnu )?free documentation licen[cs]e",), ("1 1", "1 2", "1 3")),
-    ("apache", "apache", ("apache(?: software)? licen[cs]e", "apache"), ("1 0", "1 1", "2", "2 0")),
-    ("mit", "mit", ("mit(?: x11)? licen[cs]e", "mit expat licen[cs]e"), ()),
-    ("expat", "mit", ("expat licen[cs]e",), ()),
-    ("bsd", "bsd", ("bsd licen[cs]e", "(?:new|revised|modified|simplified|original) bsd(?: licen[cs]e)?"), ()),
-    ("bsd", "bsd-2-clause", ("(?:bsd 2|2) clause (?:bsd )?licen[cs]e", "bsd 2 clause"), ()),
-    ("bsd", "bsd-3-clause", ("(?:bsd 3|3) clause (?:bsd )?licen[cs]e", "bsd 3 clause"), ()),
-    ("mozilla", "mpl", ("mozilla public licen[cs]e",), ("1 0", "1 1", "2 0")),
-    ("mpl", "mpl", ("mpl",), ("1 1", "2 0")),
-    ("eclipse", "epl", ("eclipse public licen[cs]e",), ("1 0", "2 0")),
-    ("distribution", "cddl", ("common development and distribution licen[cs]e",), ("1 0", "1 1")),
-    ("cddl", "cddl", ("cddl",), ("1 0", "1 1")),
-    ("artistic", "artistic", ("(?:perl )?artistic licen[cs]e",), ("1 0", "2 0")),
-    ("boost", "bsl", ("boost software licen[cs]e",), ("1 0",)),
-    ("isc", "isc", ("isc licen[cs]e",), ()),
-    ("zlib", "zlib", ("zlib(?: libpng)? licen[cs]e",), ()),
-    ("python", "psf", ("python software foundation licen[cs]e",), ("2",)),
-    ("postgresql", "postgresql", ("postgresql licen[cs]e",), ()),
-    ("php", "php", ("php licen[cs]e",), ("3 0", "3 01")),
-    ("ruby", "ruby", ("ruby licen[cs]e",), ()),
-    ("openssl", "openssl", ("openssl licen[cs]e",), ()),
-    ("unlicense", "unlicense", ("(?:the )?unlicense",), ()),
-    ("wtfpl", "wtfpl", ("wtfpl",), ("2",)),
-    ("european", "eupl", ("european union public licen[cs]e",), ("1 1", "1 2")),
-    ("eupl", "eupl", ("eupl",), ("1 1", "1 2")),
-    ("microsoft", "ms-pl", ("microsoft public licen[cs]e",), ()),
-    ("sil", "ofl", ("sil open font licen[cs]e",), ("1 0", "1 1")),
-    ("ogl", "ogl", ("ogl",), ("1 0", "2 0", "3 0")),
-    ("government", "ogl", ("open government licen[cs]e",), ("1 0", "2 0", "3 0")),
-    ("odc", "odbl", ("odc open database licen[cs]e",), ("1 0",)),
-    ("database", "odbl", ("open database licen[cs]e",), ("1 0",)),
-)
-#: Words of the Creative Commons licences: label part, short words, long words.
-CREATIVE = (
-    ("by", "by", "attribution"),
-    ("by-sa", "by sa", "attribution share ?alike"),
-    ("by-nd", "by nd", "attribution no ?deriv(?:s|atives|ative works)"),
-    ("by-nc", "by nc", "attribution non ?commercial"),
-    ("by-nc-sa", "by nc sa", "attribution non ?commercial share ?alike"),
-    ("by-nc-nd", "by nc nd", "attribution non ?commercial no ?deriv(?:s|atives|ative works)"),
-)
-CREATIVE_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Sentences that are signatures by themselves: keyword, expression, label.
-SENTENCES = (
-    ("permission", "permission is hereby granted free of charge to any person obtaining a copy", "mit"),
-    ("permission", "permission to use copy modify and (?:or )?distribute this software for any purpose", "isc"),
-    ("redistribution", "redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("reserved", "all rights reserved", "all-rights-reserved"),
-    ("reserved", "some rights reserved", "some-rights-reserved"),
-    ("domain", "(?:dedicated to|released into|placed in|in) the public domain", "public-domain"),
-    ("domain", "public domain", "public-domain"),
-    ("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0-1.0"),
-    ("confidential", "(?:proprietary and confidential|confidential and proprietary)", "proprietary"),
-    ("spdx", "spdx license identifier [^ ]+", "spdx"),
-    ("warranty", "(?:without|as is without) (?:any )?warranty of any kind", "warranty-disclaimer"),
-)
-GRANT = "(?:licensed|released|distributed|published|provided|available|covered|redistributed|used|made available) (?:under|by|according to|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
-LATER = "(?: or (?:any )?later(?: version)?| or newer)"
-
-
 def rules() -> tuple[Rule, ...]:
     """The signature rules in order; several hundred."""
     out = [Rule(k, p, label, 3, 0.7, True) for k, p, label in BASE]
-    for keyword, label, names, versions in FAMILIES:
-        for name in names:
-            for v in versions:
-                number = v.replace(" ", ".") if " " in v else f"{v}.0"
-                for before in ("", GRANT):
-                    out.append(Rule(keyword, f"{before}{name},? ?(?:version |v )?v?{v}{LATER}", f"{label}-{number}-or-later", 1, 1.0 if before else 0.95))
-                    out.append(Rule(keyword, f"{before}{name} (?:version |v )?v?{v}", f"{label}-{number}", 1, 1.0 if before else 0.9))
-            if name != "apache":
-                out.append(Rule(keyword, f"{GRANT}{name}", label, 2, 0.9))
-                out.append(Rule(keyword, name, label, 3, 0.7))
-    for part, short, long in reversed(CREATIVE):
-        for keyword, name in (("cc", f"cc {short}"), ("creative", f"creative commons {long}")):
-            for v in CREATIVE_VERSIONS:
-                for before in ("", GRANT):
-                    out.append(Rule(keyword, f"{before}{name}(?: international| unported)? (?:licen[cs]e )?(?:version )?{v}(?: international| unported)?", f"cc-{part}-{v.replace(' ', '.')}", 1, 1.0 if before else 0.9))
-            out.append(Rule(keyword, f"{GRANT}{name}", f"cc-{part}", 2, 0.9))
-            out.append(Rule(keyword, name, f"cc-{part}", 3, 0.7))
-    out += [Rule(k, e, label, 2, 0.8) for k, e, label in SENTENCES]
+
+    def add(lines: str, priority: int, score: float) -> None:
+        for line in filter(None, lines.splitlines()):
+            keyword, label, regex = line.split(" | ", 2)
+            for name, words in signatures.MACROS.items():
+                regex = regex.replace(name, words)
+            out.append(Rule(keyword, regex, label, priority, score))
+
+    add(signatures.VERSIONED, 1, 0.95)
+    for part, short, long in signatures.CREATIVE:
+        for v in signatures.CREATIVE_VERSIONS:
+            tail = f"(?: international| unported)? (?:licen[cs]e )?(?:version )?{v}(?: international| unported)?"
+            out += [Rule(k, f"{name}{tail}", f"cc-{part}-{v.replace(' ', '.')}", 1, 0.95) for k, name in (("cc", f"cc {short}"), ("creative", f"creative commons {long}"))]
+        out += [Rule("cc", f"cc {short}", f"cc-{part}", 3, 0.7), Rule("creative", f"creative commons {long}", f"cc-{part}", 3, 0.7)]
+    add(signatures.SENTENCES, 2, 0.8)
+    add(signatures.NAMES, 3, 0.7)
     return tuple(out)
 
 
+def certain(regex: str) -> str:
+    """What every match of a rule's expression holds: the expression without choices and without what may be left out."""
+    while (less := re.sub(r"\((?:\?:)?([^()]*)\)(\?|\*|\{\d+,\d+\})?", lambda m: " " if m[2] or "|" in m[1] else m[1], regex)) != regex:
+        regex = less
+    return regex
+
+
 def _gate(keywords: list[str]) -> str:
-    """One expression for any of the keywords.  A class of their first letters stands before the choices, so most places of
-    a text cost one look-up; short keywords must end a word."""
-    tails = sorted({(k[1:] if len(k) > 3 else f"{k[1:]}(?![0-9a-z])") for k in keywords})
-    firsts = "".join(sorted({c for k in keywords for c in (k[0].lower(), k[0].upper())}))
-    return f"[{firsts}](?i:{'|'.join(tails)})"
+    """One expression for a word that begins with "licen" or is one of the keywords.  A class of their first letters stands before the
+    choices, so most places of a text cost one look-up."""
+    by_first: dict[str, list[str]] = {"l": ["icen"]}
+    for k in sorted(keywords):
+        by_first.setdefault(k[0], []).append(f"{k[1:]}(?![0-9A-Za-z])")
+    both = {c: "".join(sorted({c, c.upper()})) for c in sorted(by_first)}
+    choices = "|".join(f"(?<=[{both[c]}])(?i:{'|'.join(by_first[c])})" for c in both)
+    return f"[{''.join(both.values())}](?<![0-9A-Za-z].)(?:{choices})"
 
 
-def _spaces(x: Column) -> Column:
-    return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _spans(line: Column, r: Column) -> Column:
-    """Every match of the rule in the line as struct(start, minus stop, priority, rule, label, score, base), by words: a match begins
-    as many words in as there are spaces before it."""
-    pieces, found = F.split(line, r["regex"], -1), F.regexp_extract_all(line, r["regex"], F.lit(0))
-    kind = f"struct<at:int,out:{DETECTIONS}>"
+    """Every match of the rule in the line as struct(start, minus stop, priority, rule, label, score, base), by words.  Matches are
+    marked in the line, so the words' places tell where they begin and end; time grows with the line, however many matches it has."""
 
-    def add(acc: Column, j: Column) -> Column:
-        begin = acc["at"] + _spaces(F.element_at(pieces, j + 1))
-        after = begin + _spaces(F.element_at(found, j + 1))
-        one = F.struct((begin - 1).alias("start"), (-after).alias("neg_stop"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["score"].alias("score"), r["base"].alias("base"))
-        return F.struct(after.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def places(words: Column) -> Column:
+        at = lambda test, mark: F.filter(F.transform(words, lambda w, i: F.when(test(w, F.lit(mark)), i)), lambda i: i.isNotNull())
+        one = lambda a, b: F.struct(a.alias("start"), (-b - 1).alias("neg_stop"), *[r[c].alias(c) for c in ("priority", "rule", "label", "score", "base")])
+        return F.zip_with(at(F.startswith, "\x01"), at(F.endswith, "\x02"), one)
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(DETECTIONS).alias("out"))
-    all_ = F.aggregate(F.sequence(F.lit(0), F.array_size(found) - 1), none.cast(kind), lambda a, j: add(a, j).cast(kind), lambda a: a["out"])
-    return F.when(F.array_size(found) > 0, all_).otherwise(none["out"])
+    marked = F.regexp_replace(line, r["regex"], F.lit("\x01$0\x02"))
+    return F.when(F.rlike(line, r["regex"]), _let(F.split(F.btrim(marked), F.lit(" ")), places).cast(DETECTIONS)).otherwise(F.array().cast(DETECTIONS))
 
 
 def _kept(spans: Column) -> Column:
     """Sorted detections without the suppressed: in this order whatever contains an interval stands before it, so the furthest
-    stop seen in each priority decides."""
+    stop seen in each priority decides.  Arrays grow by copying, so detections go block by block, as many in a block as there are blocks."""
     kind = f"struct<s1:int,s2:int,s3:int,out:{DETECTIONS}>"
+    none = F.slice(spans, 1, 0)
 
     def step(acc: Column, d: Column) -> Column:
         stop = -d["neg_stop"]
@@ -173,24 +113,30 @@ def _kept(spans: Column) -> Column:
         reach = [F.when(d["priority"] == k, F.greatest(acc[f"s{k}"], stop)).otherwise(acc[f"s{k}"]).alias(f"s{k}") for k in (1, 2, 3)]
         return F.struct(*reach, F.when(best >= stop, acc["out"]).otherwise(F.concat(acc["out"], F.array(d))).alias("out")).cast(kind)
 
-    zero = F.struct(F.lit(-1).alias("s1"), F.lit(-1).alias("s2"), F.lit(-1).alias("s3"), F.filter(spans, lambda d: F.lit(False)).alias("out")).cast(kind)
-    return F.aggregate(spans, zero, step, lambda a: a["out"])
+    width = F.ceil(F.sqrt(F.array_size(spans))).cast("int")
+
+    def block(acc: Column, i: Column) -> Column:
+        begin = F.struct(*[acc[c].alias(c) for c in ("s1", "s2", "s3")], none.alias("out")).cast(kind)
+        done = F.aggregate(F.slice(spans, i * width + 1, width), begin, step)
+        return _let(done, lambda r: F.struct(*[r[c].alias(c) for c in ("s1", "s2", "s3")], F.concat(acc["out"], r["out"]).alias("out"))).cast(kind)
+
+    zero = F.struct(F.lit(-1).alias("s1"), F.lit(-1).alias("s2"), F.lit(-1).alias("s3"), none.alias("out")).cast(kind)
+    return F.aggregate(F.sequence(F.lit(0), ((F.array_size(spans) - 1) / width).cast("int")), zero, block, lambda a: a["out"])
 
 
-def detections(df: DataFrame, signatures: tuple[Rule, ...] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def detections(df: DataFrame, listed_rules: tuple[Rule, ...] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_words, found (all detections in order) and kept (those not suppressed): arrays of struct(start,
     neg_stop, priority, rule, label, score, base)."""
-    signatures = signatures or rules()
+    listed_rules = listed_rules or rules()
     families: dict[str, list[dict]] = {}
     licence: dict[str, bool] = {}  # whether all of a family's rules hold "licen"
-    for n, r in enumerate(signatures):
+    for n, r in enumerate(listed_rules):
         families.setdefault(r.family, []).append({"regex": f"(?<= ){r.regex}(?= )", "label": r.label, "priority": r.priority, "rule": n, "score": float(r.score), "base": r.base})
-        own = r.regex.replace(GRANT, "")
-        licence[r.family] = licence.get(r.family, True) and "licen" in own and "(?: licen" not in own
+        licence[r.family] = licence.get(r.family, True) and "licen" in certain(r.regex)
     listed = json.dumps([{"keyword": f" {k} ", "also": "licen" if licence[k] else " ", "rules": own} for k, own in families.items()])
     table = F.from_json(F.lit(listed), "array<struct<keyword:string,also:string,rules:array<struct<regex:string,label:string,priority:int,rule:int,score:double,base:boolean>>>>")  # folded to one literal
     base = pick(df, key=key, text=text).withColumn("text", F.coalesce("text", F.lit("")))
-    gate = _gate(["licen", *sorted(k for k in families if not licence[k])])
+    gate = _gate(sorted(k for k in families if not licence[k] or "licen" in k))
     line = F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate("text", UPPER, LOWER), SEPARATORS, " ")), F.lit(" "))
     edge = lambda c: F.when(c.rlike(f"^{SEPARATORS}"), 1).otherwise(0)
     n_words = F.array_size(F.split("text", SEPARATORS)) - edge(F.substring("text", 1, 1)) - edge(F.substring("text", -1, 1))
@@ -204,9 +150,9 @@ def detections(df: DataFrame, signatures: tuple[Rule, ...] | None = None, key: s
     return lined.select("key", "n_words", found.alias("found")).select("key", "n_words", "found", F.when(F.array_size("found") > 0, _kept(F.col("found"))).alias("kept")).withColumnRenamed("key", key)
 
 
-def scan(df: DataFrame, signatures: tuple[Rule, ...] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, listed_rules: tuple[Rule, ...] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_words, n_base, first_word, last_word (of base phrases), base_labels, labels, score, n_found, n_kept."""
-    seen = detections(df, signatures, key, text)
+    seen = detections(df, listed_rules, key, text)
     own = F.filter("found", lambda d: d["base"])
     parts = seen.select(key, "n_words", "found", "kept", own.alias("own"))
     names = lambda c: F.transform(c, lambda d: d["label"])
