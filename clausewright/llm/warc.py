@@ -8,7 +8,8 @@ Both carry WARC-Refers-To with the response's id, WARC-Target-URI, WARC-Date, th
 response's payload digest and Content-Type (as WARC-Source-Payload-Digest and WARC-Source-Content-Type).  Ids are name-based (SHA-1 of type and source id), so a repeated or
 retried run gives the same records.  `serialise` turns records into bytes, one gzip member each; `parse` reads them back.
 
-A null payload gives empty blocks; a null URI is left out of the headers; repeated responses give repeated records; an empty table gives no rows.
+A null payload gives empty blocks; a null URI is left out of the headers; repeated responses give repeated records under the same ids (ties); very long
+payloads are converted whole, in time that grows with their length; an empty table gives no rows; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import CHUNK_BYTES, arrow_map
 
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -33,10 +36,12 @@ SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space
 _HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head|svg)(?=[\s/>])[^>]*(?:>|\Z)", re.I)
 _CLOSE = {"--": re.compile("-->")} | {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "svg", "title")}
 #: What a head is made of: hidden parts, titles, other tags that may stand in it, its own end, and whatever else.
-_IN_HEAD = re.compile(r"\s+|<!--|<(script|style|noscript|template|title)(?=[\s/>])[^>]*(?:>|\Z)|<(/head)\s*>|<(body)(?=[\s/>])|</?(?:meta|link|base|basefont|bgsound|noframes|noscript|template|title|script|style|head)(?=[\s/>])[^>]*>|<[!?][^>]*>|(<|[^\s<]+)", re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.I | re.S)
-_LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_IN_HEAD = re.compile(r"\s+|<!--|<(script|style|noscript|template|title)(?=[\s/>])[^>]*(?:>|\Z)|<(/head)\s*>|<(body)(?=[\s/>])|</?(?:meta|link|base|basefont|bgsound|noframes|noscript|template|title|script|style|head)(?=[\s/>])[^<>]*>|<[!?][^<>]*>|(<|[^\s<]+)", re.I)
+_TITLE = re.compile(r"<title(?=[\s/>])[^<>]*>", re.I)
+_LANG = re.compile(r"<html(?=[\s/>])[^<>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+#: A start tag ends at the next angle bracket of either kind, so nothing is read twice.
+_LINK = re.compile(r"<a(?=[\s/])[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s<>]+))", re.I)
+_REFERENCE = re.compile(r"&#(?:([xX])0*([0-9a-fA-F]*)|0*([0-9]*));?")
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|aside|main|blockquote|pre|hr|dl|dt|dd|form|body|html|title)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[A-Za-z/!?][^>]*>")
 _BLANK = re.compile(r"[^\S\n]+")
@@ -93,24 +98,37 @@ def _without_hidden(page: str) -> str:
     return "".join([*out, page[at:]])
 
 
+def resolved(text: str) -> str:
+    """Entities resolved; a number beyond Unicode, however long, is the replacement character."""
+    short = _REFERENCE.sub(lambda m: "\ufffd" if len(m[2] or m[3] or "") > 7 else m[0], text)
+    return html.unescape(short)
+
+
 def plain_text(page: str) -> str:
     """Visible text: no comments, scripts, styles or head; block tags break lines; entities resolved; blank runs closed up."""
-    shown = _BREAK.sub("\n", _without_hidden(page))
-    shown = html.unescape(_TAG.sub("", shown))
+    shown = _without_hidden(page)
+    last = shown.rfind(">") + 1  # no tag ends after it
+    shown = resolved(_TAG.sub("", _BREAK.sub("\n", shown[:last])) + shown[last:])
     lines = (_BLANK.sub(" ", x).strip() for x in shown.split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def page_title(page: str) -> str:
+    begin = _TITLE.search(page)
+    end = begin and _CLOSE["title"].search(page, begin.end())
+    return " ".join(resolved(page[begin.end() : end.start()]).split()) if end else ""
+
+
 def header_lines(headers: str) -> list[str]:
     """The lines of an HTTP header block, folded ones made one."""
     return re.sub(r"\r?\n[ \t]+", " ", headers).split("\n")
 
 
 def metadata_block(page: str, content_type: str, payload: str, headers: str = "") -> bytes:
-    title, lang = _TITLE.search(page), _LANG.search(page)
-    links = [html.unescape(next((x for x in m if x), "")) for m in _LINK.findall(page)]
+    lang = _LANG.search(page)
+    links = [resolved(next((x for x in m if x), "")) for m in _LINK.findall(page)]
     source = [("source-http-status" if x[:5].upper() == "HTTP/" else "source-http-header", x.strip()) for x in header_lines(headers)]
-    fields = [("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("language", lang[1] if lang else ""), ("source-content-type", content_type), ("source-payload-digest", payload), *source, *(("outlink", " ".join(x.split())) for x in links)]
+    fields = [("title", page_title(page)), ("language", lang[1] if lang else ""), ("source-content-type", content_type), ("source-payload-digest", payload), *source, *(("outlink", " ".join(x.split())) for x in links)]
     return "".join(f"{k}: {v}\r\n" for k, v in fields if v).encode()
 
 
@@ -123,7 +141,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
         cols = dict(zip(batch.schema.names, batch.columns, strict=True))
         return {c: cols[c] for c in ("key", "target_uri", "warc_date", "http_headers", "payload")} | {"record_id": [record_id("response", s) for s in cols["source"].to_pylist()]}
 
-    return arrow_map(rows, name, f"key {rows.schema['key'].dataType.simpleString()}, record_id string, target_uri string, warc_date string, http_headers string, payload binary", text=None).withColumnRenamed("key", key)
+    return arrow_map(rows, name, f"key {rows.schema['key'].dataType.simpleString()}, record_id string, target_uri string, warc_date string, http_headers string, payload binary", text="payload").withColumnRenamed("key", key)
 
 
 def derive(sources: DataFrame, keep: str | None = None) -> DataFrame:
@@ -142,7 +160,7 @@ def derive(sources: DataFrame, keep: str | None = None) -> DataFrame:
                     out[c].append(v)
         return out
 
-    made = arrow_map(rows, run, f"keep {rows.schema['keep'].dataType.simpleString()}, {COLUMNS}", text=None)
+    made = arrow_map(rows, run, f"keep {rows.schema['keep'].dataType.simpleString()}, {COLUMNS}", text="payload")
     return made.withColumnRenamed("keep", keep) if keep else made.drop("keep")
 
 
@@ -154,33 +172,56 @@ def one_record(r: dict) -> bytes:
 def serialise(records: DataFrame) -> DataFrame:
     """record_id and the record's bytes as one gzip member; members written one after another are a WARC file."""
     rows = records.select(*[c.split()[0] for c in COLUMNS.split(", ")])
-    return arrow_map(rows, lambda b: {"record_id": b.column(0), "member": [gzip.compress(one_record(r), 6, mtime=0) for r in b.to_pylist()]}, "record_id string, member binary", text=None)
+    return arrow_map(rows, lambda b: {"record_id": b.column(0), "member": [gzip.compress(one_record(r), 6, mtime=0) for r in b.to_pylist()]}, "record_id string, member binary", text="block")
+
+
+def members(raw: bytes) -> Iterator[bytes]:
+    """The gzip members of a file, unpacked one by one (commonly one for each record), or the file itself if it isn't packed."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    view = memoryview(raw)
+    while len(view):
+        unpack = zlib.decompressobj(31)
+        yield unpack.decompress(view) + unpack.flush()
+        view = view[len(view) - len(unpack.unused_data) :]
+
+
+def records(raw: bytes) -> Iterator[dict]:
+    """The records of a WARC file's bytes, plain or gzip, one by one: headers in lower case, and the block."""
+    for data in members(raw):
+        at = 0
+        while (at := data.find(b"WARC/", at)) >= 0:
+            end = data.index(b"\r\n\r\n", at)
+            head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
+            size = int(head["Content-Length"])
+            yield {k.lower(): v for k, v in head.items()} | {"block": data[end + 4 : end + 4 + size]}
+            at = end + 4 + size
 
 
 def parse(raw: bytes) -> list[dict]:
-    """The records of a WARC file's bytes, plain or gzip: headers in lower case, and the block."""
-    data, out, at = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw, [], 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:])
-        size = int(head["Content-Length"])
-        out.append({k.lower(): v for k, v in head.items()} | {"block": data[end + 4 : end + 4 + size]})
-        at = end + 4 + size
-    return out
+    return list(records(raw))
 
 
 def read(spark, path: str) -> DataFrame:
-    """Response records of WARC files in any store that Spark reads."""
+    """Response records of WARC files in any store that Spark reads.  A task holds one file as it is stored (Spark's limit for it is 2 GB), a
+    member of it unpacked, and responses of about CHUNK_BYTES."""
     rows = spark.read.format("binaryFile").load(path).select("content")
+    schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("http_headers", pa.string()), ("payload", pa.binary())])
 
-    def run(batch: pa.RecordBatch) -> dict:
-        out: dict = {c: [] for c in ("record_id", "target_uri", "warc_date", "http_headers", "payload")}
-        for raw in batch.column(0).to_pylist():
-            for r in parse(raw):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for raw in (x.as_py() for batch in batches for x in batch.column(0)):
+            for r in records(raw):
                 if r.get("warc-type") == "response":
                     head, _, body = r["block"].partition(b"\r\n\r\n")
-                    for c, v in zip(out, (r.get("warc-record-id"), r.get("warc-target-uri"), r.get("warc-date"), head.decode("latin-1"), body), strict=True):
-                        out[c].append(v)
-        return out
-
-    return arrow_map(rows, run, "record_id string, target_uri string, warc_date string, http_headers string, payload binary", text=None)
+                    held.append((r.get("warc-record-id"), r.get("warc-target-uri"), r.get("warc-date"), head.decode("latin-1"), body))
+                    size += len(r["block"])
+                if size > CHUNK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    return rows.mapInArrow(run, "record_id string, target_uri string, warc_date string, http_headers string, payload binary")

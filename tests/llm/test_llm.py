@@ -135,6 +135,63 @@ def test_base_phrases_by_brute_force(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted({x for _, x in at})))
 
 
+def brute_licences(text):
+    """All detections and those kept, from the rules as written: every rule over the words' line, containment tested pair by pair."""
+    line = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(licenses.UPPER, licenses.LOWER))))
+    found = []
+    for n, r in enumerate(licenses.rules()):
+        for m in re.finditer(f"(?<![^ ])(?:{r.regex})(?![^ ])", line):
+            start = line[: m.start()].count(" ")
+            found.append((start, start + m[0].count(" ") + 1, r.priority, n, r.label, r.score, r.base))
+    better = lambda e, d: e[0] <= d[0] and e[1] >= d[1] and e[2] <= d[2] and (e[:3] != d[:3] or e[3] < d[3])
+    return sorted(found), sorted(d for d in found if not any(better(e, d) for e in found if e is not d))
+
+
+LICENCE_TEXTS = [
+    "Licensed under the GNU General Public License, version 2 or (at your option) any later version; see the GPL. The MIT License, mit license",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND. In no event shall the authors or copyright holders be liable for any claim",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted. BSD 3-Clause License, new BSD, BSD license",
+    "SPDX-License-Identifier: GPL-2.0-or-later; SPDX-License-Identifier: Foo; Apache-2.0; Apache License; GPLv3 or later",
+    "Creative Commons Attribution-ShareAlike 4.0 International, CC BY-SA 3.0, CC BY, CC0 1.0 Universal. Some rights reserved",
+    "under the terms of the GNU Lesser General Public License version 2.1 as published; LGPL 2.1; This is free and unencumbered software released into the public domain",
+    "Proprietary and confidential. All rights reserved. Mozilla Public License 2.0, MPL 2.0, Eclipse Public License 1.0 gnu general public license gnu general public licence v3",
+    "mit der Lizenz license", "", "licence", "cc by cc by nc 4 0 cc by",
+]
+
+
+def test_licence_detections_by_brute_force(spark):
+    rng = random.Random(3)
+    pieces = [p for t in LICENCE_TEXTS for p in re.split(r"(?<=[.;,]) ", t)]
+    texts = LICENCE_TEXTS + [" ".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    got = {r.doc_id: r for r in licenses.detections(odd(spark, list(enumerate(texts)))).collect()}
+    rows = lambda x: [(d.start, -d.neg_stop, d.priority, d.rule, d.label, d.score, d.base) for d in x or ()]
+    for k, t in enumerate(texts):
+        found, kept = brute_licences(t)
+        assert (sorted(rows(got[k].found)), sorted(rows(got[k].kept))) == (found, kept), t
+    by_scan = {r.doc_id: r for r in licenses.scan(odd(spark, list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        found, kept = brute_licences(t)
+        assert by_scan[k].labels == ",".join(sorted({d[4] for d in kept} | {d[4] for d in found if d[6]})) and by_scan[k].score == max((d[5] for d in kept), default=0.0)
+
+
+def test_licence_rules_hold_their_keywords():
+    rules = licenses.rules()
+    assert len(rules) > 300 and len({r.regex for r in rules if not r.base}) == len(rules) - len(licenses.BASE)
+    for r in rules:  # a choice all of whose branches hold the keyword holds it
+        own = re.sub(r"\(\?:([^()]*)\)(?!\?)", lambda m: f" {r.family} " if all(re.search(rf"\b{r.family}\b", x) for x in m[1].split("|")) else m[0], re.sub(r"\(\?:(2\|two|3\|three|4\|four|new\|revised\|modified|original\|old)\)", "x", r.regex))
+        assert r.family in re.findall(r"[0-9a-z]+", licenses.certain(own).replace("licen[cs]e", "license")), r.regex
+
+
+def test_licence_scan_of_long_texts(spark):
+    import time
+
+    texts = ["MIT License, " * 80_000, "cc by nc 4.0 " * 60_000, "gnu " * 250_000, "permission is hereby granted " * 40_000]
+    begin = time.perf_counter()
+    got = {r.doc_id: r for r in licenses.scan(odd(spark, list(enumerate(texts)))).collect()}
+    assert time.perf_counter() - begin < 60
+    assert got[0].n_base == 80_000 and got[0].last_word == 159_998 and got[0].n_kept == 80_000 and got[1].n_base == 60_000 and got[2].n_found == 0
+
+
 def brute_repeats(docs, m, first):
     where = defaultdict(list)
     for k, t in docs:
@@ -390,13 +447,73 @@ def test_visible_text_of_unclosed_parts(page, text):
     assert warc.plain_text(page) == text
 
 
-def test_visible_text_takes_linear_time():
+def test_pages_take_linear_time():
     import time
 
     begin = time.perf_counter()
-    for x in ("<svg>", "<noscript>a", "<template>", "<head>a", "<head><p>", "<head><title>"):
-        warc.plain_text(x * 40000)
-    assert time.perf_counter() - begin < 30
+    for x in ("<svg>", "<noscript>a", "<template>", "<head>a", "<head><p>", "<head><title>", "<a", "<a ", "<a href", "<a href=", "<p", "<title>", "<title ", "<html ", "<meta ", "<head><meta ", "&#9", "&#99999999", "<!", "<!--", "href="):
+        page = x * (2_000_000 // len(x))
+        assert warc.plain_text(page) is not None and warc.metadata_block(page, "", "") is not None
+    assert warc.plain_text("a&#" + "9" * 6000 + ";b&#65;&#x000000042;") == "a\ufffdbAB"
+    assert time.perf_counter() - begin < 120
+
+
+def test_warc_query_by_another_parser(spark):
+    """Every page's records against the standard library's HTML parser."""
+    import base64
+    import hashlib
+    from html.parser import HTMLParser
+
+    breaks = set("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav aside main blockquote pre hr dl dt dd form body html title".split())
+
+    class Shown(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.hidden, self.links = [], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "noscript", "template", "head", "svg")
+            if tag == "a" and dict(attrs).get("href"):
+                self.links.append(" ".join(dict(attrs)["href"].split()))
+            if tag in breaks and not self.hidden:
+                self.out.append("\n")
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "noscript", "template", "head", "svg")
+            if tag in breaks and not self.hidden:
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.out.append(data)
+
+    digest = lambda raw: "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    rows = registry.QUERIES["op8_warc_derivatives"](spark, "/root/testdata/sf0.01").collect()
+    made = {(r.page_id, r.warc_type): r for r in warc.derive(warc.responses(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")), keep="page_id").collect()}
+    assert len(rows) == 2 * len(pages) == len(made)
+    for r in rows:
+        page, block = pages[r.page_id], bytes(made[r.page_id, r.warc_type].block)
+        assert (r.block_sha256, r.block_digest, r.payload_digest, r.n_bytes) == (hashlib.sha256(block).hexdigest(), digest(block), digest(page.html.encode()), len(block))
+        assert r.target_uri == page.url and r.refers_to == made[r.page_id, "metadata"].refers_to == made[r.page_id, "conversion"].refers_to != r.record_id
+        seen = Shown()
+        seen.feed(page.html)
+        seen.close()
+        if r.warc_type == "conversion":
+            lines = (re.sub(r"[^\S\n]+", " ", x).strip() for x in "".join(seen.out).split("\n"))
+            assert block.decode() == "\n".join(x for x in lines if x)
+        else:
+            assert [x.split(": ", 1)[1] for x in block.decode().split("\r\n") if x.startswith("outlink: ")] == seen.links
+
+
+def test_warc_files_are_read_member_by_member(spark, tmp_path):
+    import gzip
+
+    one = lambda k, body: (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{k}>\r\nWARC-Target-URI: http://{k}/\r\nWARC-Date: {warc.DATE}\r\nContent-Length: {len(body) + 19}\r\n\r\n").encode() + b"HTTP/1.1 200 OK\r\n\r\n" + body + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(one(k, b"<p>x" * k)) for k in range(1, 30)))
+    (tmp_path / "b.warc").write_bytes(one(90, b"plain") + one(91, b""))
+    got = {r.record_id: bytes(r.payload) for r in warc.read(spark, str(tmp_path)).collect()}
+    assert got == {f"<urn:{k}>": b"<p>x" * k for k in range(1, 30)} | {"<urn:90>": b"plain", "<urn:91>": b""}
 
 
 def test_a_new_shard_takes_rows_only_into_itself(spark):
