@@ -7,7 +7,7 @@ the library sees each different piece of a worker once.  Decoding reverses the t
 character split over tokens comes together again because bytes are joined first.
 
 Null texts count as empty and give no ids; an empty table gives no rows; texts of any length are handled whole; repeated rows are encoded
-alike.  Special tokens don't exist here: their strings are ordinary text.
+alike; ties don't arise (merges are ordered by rank); columns of other names are ignored.  Special tokens don't exist here: their strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ def tokenizer(path: str):
 
 
 _OTHER, _LETTER, _NUMBER, _SPACE, _END = range(5)
+#: Fixed value: the pattern that `cut` follows.  Any other is left to the regex module.
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=1)
@@ -139,9 +141,7 @@ class Codec:
     """Encodes and decodes in one worker."""
 
     def __init__(self, path: str, pattern: str):
-        import public_tokenizers
-
-        self.cut = cut if pattern == public_tokenizers.PATTERN else partial(cut_by, pattern)
+        self.cut = cut if pattern == CUT_PATTERN else partial(cut_by, pattern)
         self.model = tokenizer(path)
         self.chars = byte_characters()
         table = ranks(path)
@@ -204,16 +204,17 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
-    """Per row: key, n_tokens, ids (little-endian unsigned 32-bit integers), and with `offsets` each token's first byte."""
+def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """Per row: key, n_tokens, ids (little-endian unsigned 32-bit integers), with `offsets` each token's first byte, and with
+    `decoded` the bytes that the ids stand for, made in the same worker (a round trip in one pass, with one codec a task)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         c = codec(path, pattern)
         ids = c.encode([(t or b"").decode("utf-8", "replace") for t in text_bytes(batch)])
-        return {"key": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids} | ({"offsets": [c.offsets(x)[:-1] for x in ids]} if offsets else {})
+        return {"key": batch.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids} | ({"offsets": [c.offsets(x)[:-1] for x in ids]} if offsets else {}) | ({"decoded": [c.decode(x) for x in ids]} if decoded else {})
 
     rows = pick(df, key=key, text=text)
-    return arrow_map(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary" + ", offsets array<long>" * offsets, most=TEXT_BYTES).withColumnRenamed("key", key)
+    return arrow_map(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary" + ", offsets array<long>" * offsets + ", decoded binary" * decoded, most=TEXT_BYTES).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -232,5 +233,5 @@ def digests(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
     """Per row of `encode`: key, n_tokens, SHA-256 of the ids and of the bytes they decode to."""
     from pyspark.sql import functions as F
 
-    made = decode(encoded, path, pattern)
+    made = encoded if "decoded" in encoded.columns else decode(encoded, path, pattern)
     return made.select(key, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

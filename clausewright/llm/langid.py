@@ -8,12 +8,13 @@ All of this is tabulated once: `state` maps any `order` bytes to the longest con
 context's code lengths in bits.  A text is scored by two look-ups a byte, over the whole text, in any number of languages at once.
 The language of least total code length wins; the score is its posterior probability under equal priors.
 
-Training reads a bounded sample: at most about `rows_per_language` rows of each language, chosen by a hash of their texts, and
-at most `max_contexts` contexts (the most frequent) over all languages.  Every language is learned; the table of code lengths grows
-with their number.  Prediction covers every row.
+Training reads a bounded sample: at most about `rows_per_language` whole rows and `bytes_per_language` bytes of each language, chosen by a hash of
+key and text, and keeps at most `max_contexts` contexts, of which every language names an equal share, its own most frequent ones.  Every language is
+learned; the table of code lengths grows with their number.  Prediction covers every row.
 
 A null text or one without a letter is `und` with score 0; nulls in the language column are not learned from; repeated rows are
-learned from as often as they are drawn; equal code lengths go to the alphabetically first language.  Without any training row every prediction is
+learned from as often as they are drawn; equal code lengths (ties) go to the alphabetically first language; very long
+texts are scored whole, STEP positions at a time; columns of other names are ignored.  Without any training row every prediction is
 `und`.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, fraction_column, pick, text_bytes
 
 ORDER = 3
-ROWS_PER_LANGUAGE = 400
+ROWS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 400, 4 << 20
 MAX_CONTEXTS = 40_000
 PAD = b"\n" * ORDER
 _LETTER = regex.compile(r"\p{L}")
@@ -82,14 +83,13 @@ def counts(sample: DataFrame) -> DataFrame:
     return arrow_map(sample, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def tabulate(rows: list[tuple[str, int, int]], max_contexts: int = MAX_CONTEXTS) -> Model:
-    """The frozen model from (lang, gram, n)."""
-    languages = sorted({r[0] for r in rows})
-    if not languages:
+def tabulate(rows: pa.Table, max_contexts: int = MAX_CONTEXTS) -> Model:
+    """The frozen model from a table of lang, gram, n."""
+    if not rows.num_rows:
         return Model([], np.zeros(256, np.int32), np.zeros(0, np.int32), np.zeros((0, 0), np.float32))
-    lang = np.array([languages.index(r[0]) for r in rows])
-    gram = np.array([r[1] for r in rows], np.int64)
-    n = np.array([r[2] for r in rows], np.float64)
+    languages, lang = np.unique(rows["lang"].to_numpy().astype(object), return_inverse=True)
+    languages = languages.tolist()
+    gram, n = rows["gram"].to_numpy().astype(np.int64), rows["n"].to_numpy().astype(np.float64)
     seen = np.unique(np.concatenate([gram >> s & 255 for s in (0, 8, 16, 24)]))
     classes = np.zeros(256, np.int32)
     classes[seen] = np.arange(1, len(seen) + 1)
@@ -99,13 +99,16 @@ def tabulate(rows: list[tuple[str, int, int]], max_contexts: int = MAX_CONTEXTS)
     g = [classes[gram >> s & 255].astype(np.int64) for s in (24, 16, 8, 0)]
     # contexts of each order by the classes of their bytes; id 0 is the empty context
     keys = {1: g[2], 2: g[1] * a + g[2], 3: (g[0] * a + g[1]) * a + g[2]}
-    used, size, budget = {}, {}, max_contexts
+    used, size, left = {}, {}, np.full(len(languages), max(1, max_contexts // len(languages)))
     for order in (1, 2, 3):
-        key, inverse = np.unique(keys[order], return_inverse=True)
-        weight = np.bincount(inverse, n)
-        if len(key) > budget:
-            key = np.sort(key[np.argsort(-weight, kind="stable")[:budget]])
-        used[order], size[order], budget = key, len(key), max(0, budget - len(key))
+        chosen = []
+        for k in range(len(languages)):
+            key, inverse = np.unique(keys[order][lang == k], return_inverse=True)
+            weight = np.bincount(inverse, n[lang == k])
+            chosen.append(key[np.argsort(-weight, kind="stable")[: left[k]]])
+            left[k] -= len(chosen[-1])
+        used[order] = np.unique(np.concatenate(chosen))
+        size[order] = len(used[order])
     first = {0: 0, 1: 1, 2: 1 + size[1], 3: 1 + size[1] + size[2]}
     n_states = 1 + sum(size.values())
 
@@ -164,15 +167,15 @@ def tabulate(rows: list[tuple[str, int, int]], max_contexts: int = MAX_CONTEXTS)
     return Model(languages, classes, state.reshape(-1), cost.reshape(-1, len(languages)))
 
 
-def fit(df: DataFrame, lang: str = "lang", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS) -> Model:
+def fit(df: DataFrame, lang: str = "lang", text: str = "text", rows_per_language: int = ROWS_PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE, max_contexts: int = MAX_CONTEXTS, key: str = "doc_id") -> Model:
     """Learn from rows with a language.  Only counts of the bounded sample reach the driver."""
-    rows = pick(df, lang=lang, text=text).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = pick(df, lang=lang, text=text, key=key).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
     if not sizes:
-        return tabulate([])
-    share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / v)))])
-    sample = rows.where(fraction_column(F.col("text"), F.lit(5)) < F.element_at(share, F.col("lang")))
-    return tabulate([tuple(r) for r in counts(sample).collect()], max_contexts)
+        return tabulate(pa.table({"lang": [], "gram": [], "n": []}))
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_per_language / r["n"], bytes_per_language / max(1, r["size"]))))])
+    sample = rows.where(fraction_column(F.col("key"), F.col("text"), F.lit(5)) < F.element_at(share, F.col("lang"))).select("lang", "text")
+    return tabulate(counts(sample).toArrow(), max_contexts)
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:

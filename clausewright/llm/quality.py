@@ -5,8 +5,10 @@ cost (CPU seconds a document) and rejection rate; `plan` orders the rules by rej
 stops at the first that rejects.  Features are made on demand and shared, so a document rejected by a cheap
 rule never pays for a dear one.  The verdict is the conjunction of the rules: the order changes cost only.
 
-Nulls count as empty texts; a text without words fails the rule on length and no other; an empty table gives no rows; the
-order then is the one given.
+Nulls count as empty texts; a text without words fails the rule on length and no other; repeated rows get equal verdicts; rules that tie in
+rejection per cost stay in the order given, as all do for an empty table, which gives no rows; very long texts are read whole, a few at a
+time; columns of other names are ignored (`filter_documents` carries them along).  Features that a caller asks for as columns, and the base rules behind
+`base_failed`, are made for every row, so there the order saves the other rules only.
 """
 
 from __future__ import annotations
@@ -111,12 +113,12 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Cost and rejection rate of each rule, from about `sample_rows` rows chosen by a hash of the text.  A row for each rule
+def estimate(df: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, key: str = "doc_id") -> list[dict]:
+    """Cost and rejection rate of each rule, from about `sample_rows` rows chosen by a hash of key and text.  A row for each rule
     and batch is summed in Spark; only one row for each rule reaches the driver."""
-    rows = pick(df, text=text)
+    rows = pick(df, key=key, text=text)
     share = min(1.0, sample_rows / max(1, rows.count()))
-    sample = rows.where(fraction_column(F.col("text"), F.lit(17)) < share)
+    sample = rows.where(fraction_column(F.col("key"), F.col("text"), F.lit(17)) < share).select("text")
 
     def measure(batch: pa.RecordBatch) -> dict:
         texts, cost, out = [t or b"" for t in text_bytes(batch)], [0.0] * len(rules), [0] * len(rules)
@@ -165,9 +167,9 @@ def cascade(df: DataFrame, ordered: Sequence[Rule], columns: Sequence[str] = (),
     return made.withColumnRenamed("key", key)
 
 
-def filter_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows that every rule passes, with all their columns."""
-    ordered = plan(estimate(docs, rules, text), rules)
+def filter_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows that every rule passes, with all their columns.  Here the cascade pays: a rejected row makes no further features."""
+    ordered = plan(estimate(docs, rules, text, key=key), rules)
 
     def keep(batch: pa.RecordBatch) -> list[bool]:
         seen = (Features(t or b"") for t in text_bytes(batch, text))

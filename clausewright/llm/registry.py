@@ -27,7 +27,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm_score.score(table(spark, sf_dir, "documents"), order=3, alpha=0.4, least=2)
+    scored = lm_score.score(table(spark, sf_dir, "documents"), order=3, alpha=0.4)
     return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("perplexity", 4).alias("perplexity"))
 
 
@@ -45,7 +45,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    made = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
+    made = bpe.encode(table(spark, sf_dir, "documents"), path, pattern, decoded=True)
     return bpe.digests(made, path, pattern)
 
 
@@ -123,7 +123,7 @@ p AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d),
 g AS (SELECT doc_id, i, w AS w1, lag(w) OVER o AS w2, lag(w, 2) OVER o AS w3 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, count(*) OVER (PARTITION BY w1) AS c1, count(*) OVER (PARTITION BY w2, w1) AS c2, count(*) OVER (PARTITION BY w3, w2, w1) AS c3 FROM g),
 x AS (SELECT *, lag(c1) OVER o AS b1, lag(c2) OVER o AS b2, (SELECT count(*) FROM p) AS n FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-s AS (SELECT doc_id, CASE WHEN i >= 2 AND c3 >= 2 THEN log10(c3 / b2) WHEN i >= 1 AND c2 >= 2 THEN log10(c2 / b1) + log10(0.4) * least(1, i - 1)
+s AS (SELECT doc_id, CASE WHEN i >= 2 AND c3 >= 1 THEN log10(c3 / b2) WHEN i >= 1 AND c2 >= 1 THEN log10(c2 / b1) + log10(0.4) * least(1, i - 1)
   ELSE log10(c1 / n) + log10(0.4) * least(2, i) END AS s FROM x),
 t AS (SELECT doc_id, count(*) AS n_words, sum(s) AS score FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(score, 0.0), 4) AS score, round(pow(10, -score / n_words), 4) AS perplexity FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",

@@ -68,7 +68,9 @@ def test_rules_go_by_rejection_per_cost():
 def test_ppm_code_lengths_are_probabilities_and_a_plain_ppm_agrees():
     texts = {"x": [b"abracadabra", b"abba"], "y": [b"zyxzyx", b"cab"]}
     rows = [(k, int(g), int(n)) for k, v in texts.items() for g, n in zip(*np.unique(langid._grams(v), return_counts=True), strict=True)]
-    model = langid.tabulate(rows)
+    import pyarrow as pa
+
+    model = langid.tabulate(pa.table({c: [r[i] for r in rows] for i, c in enumerate(("lang", "gram", "n"))}))
     a = int(model.classes.max()) + 1
     weight = np.array([256 - (a - 1)] + [1] * (a - 1))
     assert np.allclose((2.0 ** -model.cost.reshape(-1, a, 2).astype(float) * weight[None, :, None]).sum(1), 1, atol=1e-4)
