@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,6 @@ LEVEL = {
     "PREAMBLE": "section", "RECITAL": "section", "TITLE": "section", "PART": "part", "CHAPTER": "chapter", "SECTION": "section", "ARTICLE": "section",
     "SUBSECTION": "clause", "PARAGRAPH": "clause", "POINT": "clause", "SUBPOINT": "clause", "SCHEDULE": "schedule", "ANNEX": "annex", "DEFINITION": "definition",
 }
-DEPTH = 32
 
 
 def level(node_type: Column) -> Column:
@@ -30,18 +31,27 @@ def contract_errors(parses: DataFrame) -> DataFrame:
     return parses.select("document_id", errors.alias("errors"), F.when(roots > 1, F.array(F.lit("several roots"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 
-def ancestors(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(document_id, id_path, ancestor, distance): parents up to the root.  An unknown parent ends a walk; `depth` ends one in a cycle.
-    A recursive common table expression, so every step is an equi-join within documents."""
-    spark = nodes.sparkSession
-    nodes.select("document_id", "id_path", "parent_id_path").createOrReplaceTempView("_structure_nodes")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(document_id, id_path, ancestor, distance) AS (
-          SELECT n.document_id, n.id_path, p.id_path, 1 FROM _structure_nodes n JOIN _structure_nodes p ON p.document_id = n.document_id AND p.id_path = n.parent_id_path
-          UNION ALL
-          SELECT w.document_id, w.id_path, p.id_path, w.distance + 1 FROM walk w JOIN _structure_nodes n ON n.document_id = w.document_id AND n.id_path = w.ancestor
-            JOIN _structure_nodes p ON p.document_id = n.document_id AND p.id_path = n.parent_id_path WHERE w.distance < {depth})
-        SELECT * FROM walk""")
+def ancestors(nodes: DataFrame, stored: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(document_id, id_path, ancestor, distance): parents up to the root, however deep.  An unknown parent ends a walk.
+
+    Walks are doubled: after round r all ancestors up to distance 2**r are known, and those of the furthest one are joined on by an equi-join within
+    documents, so a chain of depth n takes log2(n) rounds.  A node that would meet itself (a cycle) stops where it began.  `stored` may write a round's
+    table and read it back, which cuts the lineage; by default a checkpoint does where the context has a folder for it."""
+    if stored is None:
+        base = nodes.sparkSession.sparkContext.getCheckpointDir() or nodes.sparkSession.conf.get("spark.checkpoint.dir", None)
+        stored = (lambda df, n: df.checkpoint()) if base else (lambda df, n: df.cache())
+    every = nodes.select("document_id", "id_path", "parent_id_path").dropDuplicates(["document_id", "id_path"])
+    here = every.select("document_id", F.col("id_path").alias("ancestor"))
+    step = every.select("document_id", "id_path", F.col("parent_id_path").alias("ancestor")).join(here, ["document_id", "ancestor"]).where("id_path <> ancestor")
+    walked, reach = stored(step.select("document_id", "id_path", "ancestor", F.lit(1).cast("long").alias("distance")), 0), 1
+    while walked.where(F.col("distance") == reach).limit(1).count():  # somebody may go on
+        ends = walked.where(F.col("distance") == reach).select("document_id", "id_path", F.col("ancestor").alias("via"))
+        more = ends.join(walked.select("document_id", F.col("id_path").alias("via"), "ancestor", F.col("distance").alias("on")), ["document_id", "via"]).where("id_path <> ancestor")
+        more = more.select("document_id", "id_path", "ancestor", (F.col("on") + reach).alias("distance"))
+        # in a cycle the same ancestor comes round again; the nearest time counts
+        found = walked.unionByName(more).groupBy("document_id", "id_path", "ancestor").agg(F.min("distance").alias("distance"))
+        walked, reach = stored(found, reach), 2 * reach
+    return walked
 
 
 def segments(nodes: DataFrame) -> DataFrame:

@@ -42,7 +42,9 @@ def furniture(df: DataFrame, group: str = "source", key: str = "doc_id", text: s
 def without_furniture(df: DataFrame, found: DataFrame, group: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, cleaned text and characters removed.  Lines meet the furniture by an equi-join and come back in order."""
     lines = df.select(key, group, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("bare", T.strip(F.col("line")))
-    marked = lines.join(found.select(F.col(group).alias("_g"), F.col("line").alias("_l"), F.lit(True).alias("gone")), (F.col(group) == F.col("_g")) & (F.col("bare") == F.col("_l")), "left")
+    # blank lines, which every document has, are never furniture and stay out of the join
+    marked = lines.where("bare <> ''").join(found.select(F.col(group).alias("_g"), F.col("line").alias("_l"), F.lit(True).alias("gone")), (F.col(group) == F.col("_g")) & (F.col("bare") == F.col("_l")), "left").drop("_g", "_l")
+    marked = marked.unionByName(lines.where("bare = ''").withColumn("gone", F.lit(None).cast("boolean")))
     kept = F.array_sort(F.collect_list(F.when(F.col("gone").isNull(), F.struct("pos", "line"))))
     return marked.groupBy(key).agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"), F.sum(F.when(F.col("gone"), F.length("line")).otherwise(0)).alias("removed_chars"))
 

@@ -57,13 +57,57 @@ def overridden(extracted: DataFrame, payload: DataFrame) -> DataFrame:
     return extracted.join(own, "chunk_id").withColumns({"source_id": F.col("chunk_id"), "regulation_name": F.col("_t"), "jurisdiction": T.or_else(F.col("_j"), "UNKNOWN"), "doc_type": F.lit("Regulation"), "input_text": F.col("_x"), "section": T.or_else(F.col("_s"), F.col("section"), "Unknown")}).drop("_t", "_j", "_s", "_x")
 
 
-def extract(payload: DataFrame, extractor: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Rule records, or a plugged-in extractor's with the rule record where it gives none."""
+def asked(payload: DataFrame, extractor: Callable[[DataFrame], DataFrame], attempts: int = 3, stored: Callable[[DataFrame], DataFrame] = DataFrame.cache) -> DataFrame:
+    """An extractor's rows, those with an `error` asked again up to `attempts` times in all; the last error stays.  Each attempt is stored, so
+    that nothing is asked twice for one answer (on a cluster give a `stored` that writes a table, since a cache goes with its executor)."""
+    done = stored(extractor(payload))
+    if "error" not in done.columns:
+        return done
+    for _ in range(attempts - 1):
+        again = payload.join(done.where("error IS NOT NULL").select("chunk_id"), "chunk_id", "left_semi")
+        if not again.limit(1).count():
+            break
+        done = stored(done.where("error IS NULL").unionByName(extractor(again)))
+    return done
+
+
+def extract(payload: DataFrame, extractor: Callable[[DataFrame], DataFrame] | None = None, attempts: int = 3, stored: Callable[[DataFrame], DataFrame] = DataFrame.cache) -> DataFrame:
+    """Rule records, or a plugged-in extractor's with the rule record where it gives none.  Where the extractor tells errors, a row that still has one
+    after all attempts is the rule record with the error as `extract_error`, for the reject log."""
     rule = records(payload)
     if extractor is None:
         return rule
-    made = overridden(extractor(payload), payload).select(rule.columns)
-    return made.unionByName(rule.join(made.select("chunk_id"), "chunk_id", "left_anti"))
+    answers = asked(payload, extractor, attempts, stored)
+    errors = "error" in answers.columns
+    made = overridden(answers.where("error IS NULL") if errors else answers, payload).select(rule.columns)
+    rest = rule.join(made.select("chunk_id"), "chunk_id", "left_anti")
+    if errors:
+        rest = rest.join(answers.where("error IS NOT NULL").select("chunk_id", F.col("error").alias("extract_error")), "chunk_id", "left")
+    return made.unionByName(rest, allowMissingColumns=True)
+
+
+def provider(name: str, known: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame], DataFrame]:
+    """The extractor of a provider's name, in any case; a name that isn't known is an error before anything runs."""
+    by = {k.lower(): v for k, v in known.items()}
+    if name.strip().lower() not in by:
+        raise ValueError(f"unknown provider {name!r}; known: {', '.join(sorted(by)) or 'none'}")
+    return by[name.strip().lower()]
+
+
+#: What a structural parse must give; the shape is functions.schemas.STRUCTURE.
+STRUCTURE_RULES = (
+    "Give one JSON object with document_metadata, nodes and relationships.",
+    "Each node has id_path, node_type, label, title, numbering, text, parent_id_path and page_start; id_path is unique.",
+    "Exactly one node is of type DOCUMENT and has no parent; every other node names its parent.",
+    "Relationships are of type CONTAINS, from parent to child.",
+    "Copy text word for word; invent nothing; leave out what isn't there.",
+)
+
+
+def structure_prompt(docs: DataFrame, most: int = 100_000) -> DataFrame:
+    """document_id and the prompt that a remote structural parser is asked with; a provider's window bounds the text to `most` characters."""
+    title = F.coalesce(F.col("title"), F.lit("Unknown")) if "title" in docs.columns else F.lit("Unknown")
+    return docs.select("document_id", F.concat_ws("\n", *[F.lit(x) for x in STRUCTURE_RULES], F.concat(F.lit("Title: "), title), F.lit("Text:"), F.substring("full_text", 1, most)).alias("prompt"))
 
 
 def prompt(payload: DataFrame) -> DataFrame:

@@ -30,21 +30,26 @@ class Config:
 def parse(spark: SparkSession, docs: DataFrame, cfg: Config) -> DataFrame:
     """Chunks, nodes and edges.  The segments have three readers, so they are written once."""
     docs = docs.orderBy("document_id").limit(cfg.limit) if cfg.limit else docs
-    made = chunk.chunks(docs, cfg.strict)
-    sinks.json_lines(made, cfg.at("chunks"))
     segment.segments(docs, strict=cfg.strict).write.mode("overwrite").parquet(cfg.at("segments"))
     segs = spark.read.parquet(cfg.at("segments"))
+    made = chunk.chunks(docs, cfg.strict, segs=segs)
+    sinks.json_lines(made, cfg.at("chunks"))
     if sinks.if_any(graph.nodes(docs, segs, cfg.strict), cfg.at("nodes")):
         sinks.json_lines(graph.edges(docs, segs, cfg.strict), cfg.at("edges"))
     return spark.read.schema(made.schema).json(cfg.at("chunks"))
 
 
 def extraction(spark: SparkSession, chunks: DataFrame, cfg: Config) -> DataFrame:
-    """Records, rejects, the balanced set and the report."""
+    """Records, rejects, the balanced set and the report.  The first records of a class are those of the first chunks, by document and place."""
     chunks = chunks.orderBy("document_id", "chunk_index").limit(cfg.limit) if cfg.limit else chunks
-    payload = extract.inputs(chunks.withColumn("seq", F.abs(F.xxhash64("chunk_id"))))
+    in_order = chunks.orderBy("document_id", "chunk_index").withColumn("seq", F.monotonically_increasing_id())  # sorted by ranges, so ids rise with the order
+    payload = extract.inputs(in_order)
     extract.extract(payload, cfg.extractor).write.mode("overwrite").parquet(cfg.at("raw"))
     good, bad = validate.split_valid(spark.read.parquet(cfg.at("raw")))
+    failed = [c for c in ("extract_error",) if c in good.columns]
+    if failed:  # what a remote extractor gave up on is rejected with its reason
+        bad = bad.unionByName(good.where("extract_error IS NOT NULL").select("chunk_id", F.col("extract_error").alias("error")))
+        good = good.where("extract_error IS NULL").drop("extract_error")
     sinks.if_any(bad, cfg.at("rejects"))
     balanced = sample.ratio_balance(good, cfg.ratios)
     sinks.json_lines(balanced, cfg.at("balanced"))

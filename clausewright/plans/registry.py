@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bridge, chunk, dedup, extract, graph, metrics, sample, segment, validate
+from ..operators import bridge, chunk, dedup, extract, graph, metrics, sample, search, segment, validate
 from ..sources import sinks
 from ..sources.tables import ACTS_SQL, CLAUSES_SQL, acts, clauses, metadata, table, tolerant_lines
 
@@ -118,9 +118,82 @@ def _raw_json(spark, d):
     return o.withColumn("json", text)
 
 
-@query("""SELECT o_orderkey AS record_id, unnest(CASE o_orderkey % 6 WHEN 1 THEN ['context is missing', 'output is missing'] WHEN 2 THEN ['metadata is missing', 'context is missing', 'unknown status'] WHEN 4 THEN ['unknown modality'] ELSE ['not JSON'] END) AS error FROM orders WHERE o_orderkey % 6 IN (1, 2, 4, 5)""")
+#: Records that keep and break each rule of the record schema; `#` stands for the order's key.
+_META = '"metadata":{"source_id":"#","regulation_name":"r","section":"1"}'
+_ITEM = '"obligation_id":"o#","subject":"s","action":"a","reference_anchor":"x"'
+SCHEMA_CASES = (
+    f'{{{_META},"context":"c#","output":[{{{_ITEM},"modality":"MUST"}}]}}',
+    f'{{{_META},"context":"c#","instruction":null,"thought_trace":"t","tool_use":null,"output":{{"status":"rejected","message":"m","reason":"r"}}}}',
+    f'{{{_META},"context":"c#","output":[{{{_ITEM},"modality":"MUST"}},{{{_ITEM},"modality":"must not"}}]}}',
+    f'{{{_META},"context":"c#","output":[{{{_ITEM},"modality":"SHALL","deadline":5}}]}}',
+    f'{{{_META},"context":"c#","output":[{{"obligation_id":"o#","modality":"MAY","subject":null}}, 7]}}',
+    f'{{{_META},"context":"c#","output":[]}}',
+    f'{{{_META},"context":"c#","output":{{"status":"no_content","message":"m","reason":null}}}}',
+    f'{{{_META},"context":"c#","output":{{"status":"incomplete"}}}}',
+    f'{{{_META},"context":"c#","output":"none"}}',
+    f'{{{_META},"context":"c#"}}',
+    '{"metadata":{"source_id":"#","section":""},"context":null,"output":[]}',
+    '{"metadata":[],"context":4,"instruction":[],"thought_trace":{},"output":null}',
+    '{"context":"c#","output":{"status":"","message":"m","reason":"r"}}',
+    f'{{{_META},"context":"c#","tool_use":"none","output":[]}}',
+    f'{{{_META},"context":"c#","tool_use":{{"available_tools":["a",1],"tool_rationale":null}},"output":[]}}',
+    f'{{{_META},"context":"c#","tool_use":{{"available_tools":["a"],"tool_call":"f","external_context":"e"}},"output":[]}}',
+    f'{{{_META},"context":"c#","tool_use":{{"available_tools":[],"tool_call":{{}},"tool_rationale":"r"}},"output":[{{{_ITEM},"modality":"Aspirational obligation","conditions":"if"}}]}}',
+    '{"metadata":#', '[1, 2]', 'null',
+)
+
+
+def _schema_cases(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"))
+    case = F.element_at(F.array(*[F.lit(x) for x in SCHEMA_CASES]), (F.col("record_id") % len(SCHEMA_CASES) + 1).cast("int"))
+    return o.withColumn("json", F.replace(case, F.lit("#"), F.col("record_id").cast("string")))
+
+
+_LISTED = ", ".join("'" + x.replace("'", "''") + "'" for x in SCHEMA_CASES)
+_KEYS = {"m": ("source_id", "regulation_name", "section"), "o": ("obligation_id", "subject", "modality", "action", "reference_anchor"), "s": ("status", "message", "reason")}
+_IN = lambda kinds: "(" + ", ".join(f"'{k}'" for k in kinds) + ")"
+_BAD = lambda x, path, *kinds: f"coalesce(json_type({x}, '{path}') NOT IN {_IN(kinds)}, false)"
+_LACKS = lambda x, at, keys: "(" + " OR ".join(f"json_type({x}, '{at}.{k}') IS NULL" for k in keys) + ")"
+CASES_SQL = f"""WITH c AS (SELECT o_orderkey AS record_id, replace(list_extract([{_LISTED}], CAST(o_orderkey % {len(SCHEMA_CASES)} + 1 AS BIGINT)), '#', CAST(o_orderkey AS VARCHAR)) AS t FROM orders),
+j AS (SELECT record_id, t, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM c),
+k AS (SELECT *, json_type(j, '$.output') AS kind, coalesce(json_type(j) = 'OBJECT', false) AS whole, CASE WHEN json_type(j, '$.output') = 'ARRAY' THEN json_extract(j, '$.output[*]') ELSE [] END AS items FROM j)"""
+
+
+@query(f"""{CASES_SQL}, e AS (SELECT record_id, [
+  CASE WHEN NOT whole THEN 'not a JSON object' END,
+  CASE WHEN whole AND json_type(j, '$.metadata') IS NULL THEN 'metadata is missing' END,
+  CASE WHEN whole AND {_BAD("j", "$.metadata", "OBJECT")} THEN 'metadata is no object' END,
+  CASE WHEN whole AND json_type(j, '$.metadata') = 'OBJECT' AND {_LACKS("j", "$.metadata", _KEYS["m"])} THEN 'metadata lacks a key' END,
+  CASE WHEN whole AND json_type(j, '$.context') IS NULL THEN 'context is missing' END,
+  CASE WHEN whole AND {_BAD("j", "$.context", "VARCHAR")} THEN 'context is no string' END,
+  CASE WHEN whole AND {_BAD("j", "$.instruction", "VARCHAR", "NULL")} THEN 'instruction is no string' END,
+  CASE WHEN whole AND {_BAD("j", "$.thought_trace", "VARCHAR", "NULL")} THEN 'thought_trace is no string' END,
+  CASE WHEN whole AND {_BAD("j", "$.tool_use", "OBJECT", "NULL")} THEN 'tool_use is neither object nor null' END,
+  CASE WHEN whole AND ({_BAD("j", "$.tool_use.available_tools", "ARRAY")} OR len(list_filter(json_extract(j, '$.tool_use.available_tools[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0
+    OR {_BAD("j", "$.tool_use.tool_rationale", "VARCHAR", "NULL")} OR {_BAD("j", "$.tool_use.tool_call", "OBJECT", "NULL")} OR {_BAD("j", "$.tool_use.external_context", "VARCHAR", "NULL")}) THEN 'tool_use holds a wrong type' END,
+  CASE WHEN whole AND kind IS NULL THEN 'output is missing' END,
+  CASE WHEN whole AND kind NOT IN ('ARRAY', 'OBJECT') THEN 'output is neither list nor object' END,
+  CASE WHEN whole AND len(list_filter(items, lambda x: json_type(x) <> 'OBJECT' OR {_LACKS("x", "$", _KEYS["o"])})) > 0 THEN 'obligation is incomplete' END,
+  CASE WHEN whole AND len(list_filter(items, lambda x: {" OR ".join(_BAD("x", f"$.{k}", "VARCHAR") for k in (*_KEYS["o"], "conditions", "deadline"))})) > 0 THEN 'obligation holds a wrong type' END,
+  CASE WHEN whole AND len(list_filter(items, lambda x: coalesce(json_type(x, '$.modality') = 'VARCHAR' AND json_extract_string(x, '$.modality') NOT IN ('MUST', 'SHOULD', 'MAY', 'PROHIBITED', 'MUST_NOT', 'SHOULD_NOT', 'ASPIRATIONAL_OBLIGATION'), false))) > 0 THEN 'unknown modality' END,
+  CASE WHEN whole AND kind = 'OBJECT' AND {_LACKS("j", "$.output", _KEYS["s"])} THEN 'status is incomplete' END,
+  CASE WHEN whole AND kind = 'OBJECT' AND ({" OR ".join(_BAD("j", f"$.output.{k}", "VARCHAR") for k in _KEYS["s"])}) THEN 'status holds a wrong type' END,
+  CASE WHEN whole AND kind = 'OBJECT' AND json_type(j, '$.output.status') = 'VARCHAR' AND json_extract_string(j, '$.output.status') NOT IN ('rejected', 'no_obligation') THEN 'unknown status' END
+] AS errors FROM k), u AS (SELECT record_id, unnest(errors) AS error FROM e) SELECT * FROM u WHERE error IS NOT NULL""")
 def schema_validation(spark, d):
-    return validate.schema_errors(_raw_json(spark, d)).select("record_id", F.explode("errors").alias("error"))
+    return validate.schema_errors(_schema_cases(spark, d)).select("record_id", F.explode("errors").alias("error"))
+
+
+@query(f"""{CASES_SQL}, v AS (SELECT *, coalesce(kind IN ('ARRAY', 'OBJECT') AND json_extract_string(j, '$.output') NOT IN ('[]', '{{}}'), false) AS full_, json_extract_string(j, '$.output.status') AS st FROM k WHERE whole)
+SELECT record_id, coalesce(nullif(json_extract_string(j, '$.metadata.section'), ''), 'UNKNOWN') AS section, coalesce(json_extract_string(j, '$.metadata.regulation_name'), 'UNKNOWN') AS regulation,
+  CASE WHEN kind = 'OBJECT' THEN CASE WHEN st IN ('rejected', 'no_obligation') THEN st WHEN coalesce(st, '') IN ('', 'no_content') THEN 'no_obligation' ELSE 'rejected' END WHEN kind IS NULL OR kind = 'NULL' OR NOT full_ AND kind = 'ARRAY' THEN 'no_obligation' END AS status,
+  CASE WHEN kind = 'ARRAY' AND json_type(j, '$.output[0]') = 'OBJECT' THEN upper(replace(json_extract_string(j, '$.output[0].modality'), ' ', '_')) END AS modality, CASE WHEN json_type(j, '$.context') = 'VARCHAR' THEN json_extract_string(j, '$.context') WHEN json_type(j, '$.context') = 'NULL' THEN '' ELSE CAST(json_extract(j, '$.context') AS VARCHAR) END AS context FROM v""")
+def permissive_repair(spark, d):
+    """What the permissive validator makes of each record."""
+    v = F.try_parse_json("json")
+    get = lambda path: F.try_variant_get(v, path, "string")
+    made = validate.mend(_schema_cases(spark, d)).where(F.schema_of_variant(v).startswith("OBJECT"))
+    return made.select("record_id", get("$.metadata.section").alias("section"), get("$.metadata.regulation_name").alias("regulation"), get("$.output.status").alias("status"), get("$.output[0].modality").alias("modality"), get("$.context").alias("context"))
 
 
 @query("""SELECT o_orderkey AS record_id, CASE WHEN o_orderkey % 6 = 5 THEN '' ELSE 'c' || o_orderkey END AS context, CASE o_orderkey % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'do ' || o_orderkey WHEN 4 THEN '' END AS action,
@@ -319,6 +392,16 @@ def recursive_ancestors(spark, d):
     return bridge.ancestors(_structure(spark, d).select("document_id", F.explode("nodes").alias("n")).select("document_id", "n.*"))
 
 
+@query("""WITH RECURSIVE n AS (SELECT c_custkey // 40 AS doc, c_custkey % 40 AS k FROM customer), w AS (SELECT doc, k, k - 1 AS up, 1 AS distance FROM n WHERE k > 0
+  UNION ALL SELECT w.doc, w.k, w.up - 1, w.distance + 1 FROM w WHERE w.up > 0) SELECT CAST(w.doc AS VARCHAR) AS document_id, CAST(w.k AS VARCHAR) AS id_path, CAST(w.up AS VARCHAR) AS ancestor, distance FROM w JOIN n p ON p.doc = w.doc AND p.k = w.up
+  WHERE NOT EXISTS (SELECT 1 FROM generate_series(w.up, w.k) AS g(x) LEFT JOIN n q ON q.doc = w.doc AND q.k = g.x WHERE q.k IS NULL)""")
+def deep_ancestors(spark, d):
+    """Chains of 40 nodes."""
+    c = table(spark, d, "customer").select(F.floor(F.col("c_custkey") / 40).cast("long").cast("string").alias("document_id"), (F.col("c_custkey") % 40).alias("k"))
+    nodes = c.select("document_id", F.col("k").cast("string").alias("id_path"), F.when(F.col("k") > 0, (F.col("k") - 1).cast("string")).alias("parent_id_path"))
+    return bridge.ancestors(nodes)
+
+
 def _structure(spark, d):
     """A small parse result for each page: a document, a part and two points; some break the contract."""
     p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("document_id"))
@@ -527,15 +610,8 @@ def upsert_last_wins(spark, d):
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS s FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 10")
 def embedding_topk(spark, d):
     """Nearest ten vectors of a stated query set (ids divisible by 50) by cosine, against all rows."""
-    from pyspark.sql.window import Window
-
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = v.withColumn("norm", F.sqrt(dot(F.col("e"), F.col("e"))))
-    q = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
-    s = unit.join(q, F.col("vec_id") != F.col("query_id")).withColumn("s", dot(F.col("e"), F.col("qe")) / (F.col("norm") * F.col("qn")))
-    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("s", 9).desc(), "vec_id"))).where("rank <= 10")
-    return ranked.select("query_id", "vec_id", "rank", F.round("s", 6).alias("similarity"))
+    v = table(spark, d, "embeddings")
+    return search.nearest(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

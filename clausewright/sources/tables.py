@@ -49,10 +49,16 @@ def local_manifest(files: DataFrame) -> DataFrame:
 
 
 def fetched(records: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records whose file is there (with local_path), and the failed ones (s3_key, regulator, error)."""
-    have = files.select(F.element_at(F.split("path", "/"), -1).alias("_name"), F.col("path").alias("local_path"))
-    named = records.withColumn("_name", T.safe_filename(F.col("s3_key")))
-    return named.join(have, "_name").drop("_name"), named.join(have, "_name", "left_anti").select("s3_key", "regulator", F.lit("not found").alias("error"))
+    """Records whose file is there (with local_path), and the failed ones (s3_key, regulator, error).  A file is a record's if it lies at the
+    record's target path (its regulator's folder and safe name), or where the key itself says; equal names in different folders don't meet."""
+    parts = F.split("path", "/")
+    have = files.select(F.concat_ws("/", F.slice(parts, -2, 2)).alias("_place"), F.col("path").alias("local_path")).dropDuplicates(["_place"])
+    own = F.split("s3_key", "/")
+    as_key = F.when(F.size(own) > 1, F.concat_ws("/", F.slice(own, -2, 2)))
+    places = F.array_distinct(F.array_compact(F.array(F.concat_ws("/", F.col("regulator"), T.safe_filename(F.col("s3_key"))), as_key)))
+    rows = records.withColumn("_row", F.xxhash64(*[F.col(c).cast("string") for c, kind in records.dtypes if not kind.startswith("map")]))
+    met = rows.withColumn("_place", F.explode(places)).join(have, "_place").drop("_place").dropDuplicates(["_row"])
+    return met.drop("_row"), rows.join(met.select("_row"), "_row", "left_anti").select("s3_key", "regulator", F.lit("not found").alias("error"))
 
 
 def manifest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

@@ -122,3 +122,66 @@ def test_near_pairs_and_members_link_every_copy(spark):
     assert members == {5: 3, 3: 3, 9: 3, 7: 7, 8: 7, 20: 20, 21: 20, 30: 30, 31: 30, 32: 32, 40: 40}
     pairs = [(r.a, r.b) for r in dedup.near_pairs(df, ("source", "lang")).collect()]
     assert {(x, y) for a, b in pairs for x in members if members[x] == a for y in members if members[y] == b} == {(x, y) for x in (3, 5, 9) for y in (7, 8)}
+
+
+def test_ancestors_of_deep_chains_and_cycles(spark):
+    from clausewright.operators import bridge
+
+    rows = [("d", str(k), str(k - 1) if k else None) for k in range(200)] + [("e", "a", "b"), ("e", "b", "c"), ("e", "c", "a"), ("e", "x", "missing"), ("e", "y", "y")]
+    got = {(r.document_id, r.id_path, r.ancestor): r.distance for r in bridge.ancestors(spark.createDataFrame(rows, "document_id string, id_path string, parent_id_path string")).collect()}
+    chain = {("d", str(k), str(j)): k - j for k in range(200) for j in range(k)}
+    assert got == chain | {("e", "a", "b"): 1, ("e", "a", "c"): 2, ("e", "b", "c"): 1, ("e", "b", "a"): 2, ("e", "c", "a"): 1, ("e", "c", "b"): 2}
+
+
+def test_files_of_one_name_in_two_folders_dont_meet(spark):
+    from clausewright.sources import tables
+
+    records = spark.createDataFrame([("a/x.pdf", "A"), ("b/x.pdf", "B"), ("c/x.pdf", "C")], "s3_key string, regulator string")
+    files = spark.createDataFrame([("/base/A/x.pdf",), ("/base/b/x.pdf",)], "path string")
+    have, failed = tables.fetched(records, files)
+    assert {(r.s3_key, r.local_path) for r in have.collect()} == {("a/x.pdf", "/base/A/x.pdf"), ("b/x.pdf", "/base/b/x.pdf")}
+    assert [r.s3_key for r in failed.collect()] == ["c/x.pdf"]
+
+
+def test_extractors_are_asked_again_and_their_errors_kept(spark):
+    from pyspark.sql import functions as F
+
+    from clausewright.operators import extract
+
+    asked = []
+    payload = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "chunk_id string")
+
+    def flaky(rows):
+        asked.append(rows.count())
+        gone = F.when((F.col("chunk_id") == "c3") | (F.lit(len(asked)) == 1) & (F.col("chunk_id") == "c2"), "late")
+        return rows.select("chunk_id", gone.alias("error"))
+
+    got = {r.chunk_id: r.error for r in extract.asked(payload, flaky).collect()}
+    assert got == {"c1": None, "c2": None, "c3": "late"} and asked == [3, 2, 1]
+
+
+def test_providers_and_structure_prompts(spark):
+    import pytest
+
+    from clausewright.operators import extract
+
+    known = {"Local": lambda df: df}
+    assert extract.provider(" LOCAL ", known) is known["Local"]
+    with pytest.raises(ValueError):
+        extract.provider("other", known)
+    row = extract.structure_prompt(spark.createDataFrame([("d", "Act", "text"), ("e", None, None)], "document_id string, title string, full_text string")).collect()
+    assert row[0].prompt.endswith("Title: Act\nText:\ntext") and "Title: Unknown" in row[1].prompt
+
+
+def test_mended_records_follow_the_schema(spark):
+    import json
+
+    from clausewright.operators import validate
+
+    rows = [json.dumps(x) for x in ({"metadata": None, "context": "c", "output": [{"obligation_id": "o", "subject": None, "modality": "must not", "action": "a", "reference_anchor": "r", "more": [None, {"x": None}]}], "tool_use": {"tool_call": None, "note": None}}, {"context": "c"}, {"context": "c", "output": {"status": "incomplete", "message": "m", "reason": None}})] + ["{", None]
+    made = validate.mend(spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, json string"))
+    got = {r.k: (r.json, r.errors) for r in validate.schema_errors(made).collect()}
+    assert all(got[k][1] == [] for k in range(3)) and got[3] == ("{", ["not a JSON object"]) and got[4][1] == ["not a JSON object"]
+    first = json.loads(got[0][0])
+    assert first["metadata"]["section"] == "UNKNOWN" and first["output"][0]["modality"] == "MUST_NOT" and first["output"][0]["subject"] == "" and first["output"][0]["more"] == ["", {"x": ""}]
+    assert first["tool_use"] == {"tool_call": None, "note": ""} and json.loads(got[2][0])["output"] == {"status": "rejected", "message": "m", "reason": ""}
