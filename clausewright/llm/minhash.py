@@ -353,6 +353,7 @@ def near_duplicates(df: DataFrame, width: int = 5, similarity: float = 0.8, key:
     named = part.join(ids, "part").join(classes.select("node", "set_id", "first_key"), "node").where(~F.col("component_id").eqNullSafe(F.col("first_key"))).select("set_id", "component_id")
     # classes that are their own component need no entry: their rows have the class's least key
     own = classes.select("set_id", "first_key").join(named, "set_id", "left").select("set_id", F.coalesce("component_id", "first_key").alias("component_id"))
+    own = durable(own, "ids")  # a table, so that the partition of a set with very many rows can be split
     out = rows.where("set_id IS NOT NULL").select("key", "text_hash", "n_shingles", "set_id").join(own, "set_id", "left").drop("set_id")
     alone = rows.where("set_id IS NULL").select("key", "text_hash", "n_shingles", F.lit(None).cast(rows.schema["key"].dataType).alias("component_id"))
     whole = F.coalesce("component_id", "key")
