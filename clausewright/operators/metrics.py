@@ -131,8 +131,10 @@ def l1(a: DataFrame, b: DataFrame, label: str, alert: float = 0.3) -> DataFrame:
     return d.withColumn("alert", F.col("l1") > alert)
 
 
-def drift(a: DataFrame, b: DataFrame, value: str, label: str) -> DataFrame:
-    """Relative change of the mean, both means and population deviations, and the label distance.  One row."""
-    stat = lambda df, k: df.agg(F.avg(value).alias(f"mean_{k}"), F.stddev_pop(value).alias(f"std_{k}"))
-    one = stat(a, "a").crossJoin(stat(b, "b")).crossJoin(l1(a, b, label))
-    return one.withColumn("mean_change", F.abs(F.col("mean_b") - F.col("mean_a")) / (F.col("mean_a") + 1e-8))
+def drift(a: DataFrame, b: DataFrame, value: str, label: str, count: str | None = None) -> DataFrame:
+    """Relative change of the mean, both means and population deviations, and the label distance; with `count`, a column of obligations a
+    record, also the relative change of its mean.  One row."""
+    stat = lambda df, k: df.agg(F.avg(value).alias(f"mean_{k}"), F.stddev_pop(value).alias(f"std_{k}"), *([F.avg(count).alias(f"count_{k}")] if count else []))
+    change = lambda m: F.abs(F.col(f"{m}_b") - F.col(f"{m}_a")) / (F.col(f"{m}_a") + 1e-8)
+    one = stat(a, "a").crossJoin(stat(b, "b")).crossJoin(l1(a, b, label))  # one row each
+    return one.withColumns({"mean_change": change("mean")} | ({"count_change": change("count")} if count else {}))

@@ -63,7 +63,11 @@ def semantic_role_counts(spark, d):
     return clauses(spark, d).select(T.semantic_role(F.lit("section"), F.col("text")).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{KINDS_SQL}, w AS (SELECT classification, CAST(o_custkey AS VARCHAR) AS section, text, list_distinct(string_split_regex(lower(text), '[^a-z0-9]+')) AS have,
+  list_distinct(string_split_regex(CASE classification WHEN 'obligation' THEN 'extracted action' WHEN 'non_obligation' THEN 'permission or non mandatory clause' ELSE 'neutral definition clause' END, ' ')) AS said FROM kinds),
+c AS (SELECT classification, 0.3::DOUBLE * len(list_intersect(said, have)) / len(said) + 0.25::DOUBLE * CAST((classification = 'obligation') = regexp_matches(lower(text), '\\b(shall|must|is required to|are required to)\\b') AS INT)
+  + 0.2::DOUBLE + 0.15::DOUBLE * CAST(section <> 'Unknown' AS INT) + 0.1::DOUBLE * CAST(length(text) >= 20 AS INT) AS c FROM w)
+SELECT classification, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.5 THEN 'medium' ELSE 'low' END AS tier, count(*) AS n, round(avg(c), 6) AS mean_confidence FROM c GROUP BY 1, 2""")
 def composite_confidence(spark, d):
     return extract.confidence(_records(spark, d)).groupBy("classification", "tier").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
@@ -355,6 +359,41 @@ def act_hierarchy(spark, d):
     return h.select("document_id", *[F.size(c).cast("long").alias(c) for c in ("chapters", "sections", "clauses")], F.element_at("sections", 1)["text"].alias("first_text"))
 
 
+#: An act with every level; `#` stands for the customer's key.  Its spans are stated by hand: level, label, title, place, whether the place is
+#: after the key, and the clause that it is in.
+LEVELS_TEXT = 'PART I - Scope\n\nCHAPTER 2 - General\n\nSection 7. Firms shall file return #.\n(b) "filer" means a firm;\n(a) the form must be signed;\nExplanation 1. Return means a form.\nProviso. No return is due in June.\nSCHEDULE II - Forms'
+LEVELS = (
+    ("part", "I", "Scope", 0, 0, None, None), ("chapter", "2", "General", 16, 0, None, None),
+    ("section", "7", 'Firms shall file return #.\n(b) "filer" means a firm;\n(a) the form must be signed;', 37, 0, "7", None),
+    ("clause", "b", '"filer" means a firm;', 74, 1, "7", "b"), ("definition", "b", "filer", 74, 1, "7", "b"), ("subsection", "b", '"filer" means a firm;', 74, 1, "7", "b"),
+    ("clause", "a", "the form must be signed;", 100, 1, "7", "a"), ("subsection", "a", "the form must be signed;", 100, 1, "7", "a"),
+    ("explanation", "1", "Return means a form.", 129, 1, "7", "a"), ("proviso", "Proviso", "No return is due in June.\nSCHEDULE II - Forms", 165, 1, "7", "a"),
+    ("schedule", "II", "Forms", 200, 1, "7", "a"),
+)
+_LITERAL = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+LEVELS_SQL = f"levels AS (SELECT 'L' || c_custkey AS document_id, CAST(c_custkey AS VARCHAR) AS k, v.* FROM customer, (VALUES {', '.join('(' + ', '.join(map(_LITERAL, (i, *x))) + ')' for i, x in enumerate(LEVELS))}) AS v(ord, level, label, title, place, moved, section_number, clause_number))"
+
+
+def _levels(spark, d):
+    key = F.col("c_custkey").cast("string")
+    return table(spark, d, "customer").select(F.concat(F.lit("L"), key).alias("document_id"), F.col("c_mktsegment").alias("regulator"), F.lit("Act").alias("act_name"), F.lit("").alias("effective_date"), F.lit(None).cast("string").alias("local_path"), F.replace(F.lit(LEVELS_TEXT), F.lit("#"), key).alias("full_text"))
+
+
+@query(f"WITH {LEVELS_SQL} SELECT document_id, ord, level, label, replace(title, '#', k) AS title, place + moved * length(k) AS start_offset, section_number, clause_number FROM levels")
+def act_levels(spark, d):
+    return segment.segments(_levels(spark, d)).select("document_id", "ord", "level", "label", "title", "start_offset", "section_number", "clause_number")
+
+
+@query("""SELECT 'L' || c_custkey AS document_id, 'L' || c_custkey || a AS source, 'L' || c_custkey || b AS target, t AS type FROM customer, (VALUES
+  ('', '/part/i', 'DOCUMENT_HAS_PART'), ('/part/i', '/chapter/2', 'PART_HAS_CHAPTER'), ('/chapter/2', '/section/7', 'CHAPTER_HAS_SECTION'),
+  ('/section/7', '/clause/7/b', 'SECTION_HAS_CLAUSE'), ('/section/7', '/definition/7/b', 'SECTION_CONTAINS_DEFINITION'), ('/section/7', '/clause/7/b', 'SECTION_HAS_SUBSECTION'),
+  ('/section/7', '/clause/7/a', 'SECTION_HAS_CLAUSE'), ('/section/7', '/clause/7/a', 'SECTION_HAS_SUBSECTION'), ('/section/7', '/explanation/7/1', 'SECTION_HAS_EXPLANATION'),
+  ('/section/7', '/proviso/7/proviso', 'SECTION_HAS_PROVISO'), ('', '/schedule/ii', 'ACT_HAS_SCHEDULE')) AS v(a, b, t)""")
+def act_level_edges(spark, d):
+    a = _levels(spark, d)
+    return graph.edges(a, segment.segments(a)).where("type NOT IN ('CONTAINS', 'ACT_ISSUED_BY_REGULATOR')")
+
+
 def _slugged(x: str) -> str:
     return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_')"
 
@@ -519,11 +558,40 @@ def span_iou(spark, d):
     return _spans(spark, d).select("l_orderkey", "l_partkey", "l_linenumber", F.round(metrics.span_iou(F.col("s"), F.col("e"), F.col("ps"), F.col("pe")), 6).alias("iou"))
 
 
-@query()
+#: Each prediction in turn takes the first of its golds that is free; its golds are those that reach the threshold, best first.
+MATCH_SQL = f"""WITH RECURSIVE {SPANS_SQL}, g AS (SELECT l_orderkey, s, e, gm, row_number() OVER (PARTITION BY l_orderkey ORDER BY s, e, gm) AS gi FROM (SELECT *, l_linenumber % 5 AS gm FROM x)),
+p AS (SELECT l_orderkey, ps, pe, pm, row_number() OVER (PARTITION BY l_orderkey ORDER BY ps, pe, pm) AS pi FROM (SELECT *, (l_linenumber + CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE 0 END) % 5 AS pm FROM x)),
+v AS (SELECT l_orderkey, pi, gi, greatest(0, least(e, pe) - greatest(s, ps)) AS k, e - s + pe - ps AS len2 FROM p JOIN g USING (l_orderkey)),
+t AS (SELECT l_orderkey, pi, list(gi ORDER BY k / (len2 - k) DESC, gi) FILTER (k > 0 AND 2 * k >= len2 - k) AS cand FROM v GROUP BY ALL),
+m AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS pi, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS hit FROM x
+  UNION ALL SELECT l_orderkey, pi, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, hit FROM (SELECT t.l_orderkey, t.pi, m.used, list_filter(t.cand, lambda c: NOT list_contains(m.used, c))[1] AS hit FROM m JOIN t ON t.l_orderkey = m.l_orderkey AND t.pi = m.pi + 1))"""
+
+
+@query(f"""{MATCH_SQL}, n AS (SELECT (SELECT count(hit) FROM m) AS tp, (SELECT count(*) FROM x) AS n) SELECT tp, n - tp AS fp, n - tp AS fn, round(tp / n, 6) AS precision, round(tp / n, 6) AS recall, round(CASE WHEN tp > 0 THEN tp / n ELSE 0.0 END, 6) AS f1 FROM n""")
 def span_f1_greedy(spark, d):
     own = _spans(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("g"), F.array_sort(F.collect_list(F.struct(F.col("ps").alias("s"), F.col("pe").alias("e")))).alias("p"))
     m = own.select(F.size(metrics.greedy_matches(F.col("g"), F.col("p"))).alias("n_matched"), F.size("g").alias("n_gold"), F.size("p").alias("n_pred"))
-    return metrics.span_f1(m)
+    return metrics.span_f1(m).select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+#: Modalities by number in the test data.
+MODALITIES = ("MUST", "SHOULD", "MAY", "MUST_NOT", "SHOULD_NOT")
+_NAMED_SQL = lambda c: f"list_extract([{', '.join(repr(x) for x in MODALITIES)}], {c} + 1)"
+
+
+@query(f"""{MATCH_SQL}, q AS (SELECT {_NAMED_SQL("gm")} AS gold, {_NAMED_SQL("pm")} AS pred FROM m JOIN g ON g.l_orderkey = m.l_orderkey AND g.gi = m.hit JOIN p ON p.l_orderkey = m.l_orderkey AND p.pi = m.pi),
+l AS (SELECT unnest([{", ".join(repr(x) for x in MODALITIES)}]) AS label), c AS (SELECT label, count(*) FILTER (gold = label) AS support, count(*) FILTER (pred = label) AS predicted, count(*) FILTER (gold = label AND pred = label) AS correct FROM l, q GROUP BY label)
+SELECT label, support, predicted, correct, round(CASE WHEN predicted > 0 THEN correct / predicted ELSE 0.0 END, 6) AS precision, round(CASE WHEN support > 0 THEN correct / support ELSE 0.0 END, 6) AS recall, round(CASE WHEN correct > 0 THEN 2.0 * correct / (predicted + support) ELSE 0.0 END, 6) AS f1 FROM c""")
+def modality_report(spark, d):
+    """Modalities of matched spans only: a report of five classes."""
+    named = lambda n: F.element_at(F.array(*[F.lit(x) for x in MODALITIES]), (n + 1).cast("int"))
+    gm = F.col("l_linenumber") % 5
+    pm = (F.col("l_linenumber") + F.when(F.col("l_partkey") % 7 == 0, 1).otherwise(0)) % 5
+    own = _spans(spark, d).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("s", "e", gm.alias("m")))).alias("g"), F.array_sort(F.collect_list(F.struct(F.col("ps").alias("s"), F.col("pe").alias("e"), pm.alias("m")))).alias("p"))
+    pairs = own.select("g", "p", F.explode(metrics.greedy_matches(F.col("g"), F.col("p"))).alias("x"))
+    of = lambda c: named(F.element_at(c[0], F.col(f"x.{c[1]}") + 1)["m"])
+    r = metrics.class_report(pairs.select(of(("g", "gold")).alias("gold"), of(("p", "pred")).alias("pred")), MODALITIES)
+    return r.select("label", "support", "predicted", "correct", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 def _predictions(spark, d):
@@ -570,11 +638,17 @@ def label_accuracy(spark, d):
     return _predictions(spark, d).agg(F.round(F.avg(metrics.label_match(F.col("pred"), F.col("gold")).cast("double")), 6).alias("label_accuracy"), F.round(F.avg(metrics.exact_match(F.concat(F.lit(" "), F.upper("pred")), F.col("gold")).cast("double")), 6).alias("exact_match"))
 
 
-@query()
+@query(r"""WITH RECURSIVE b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS g, list_filter(string_split_regex(lower(regexp_replace(text, '(\S+)\s+(\S+)', '\2 \1', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS p FROM benchmark),
+gw AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(g) AS w FROM b) GROUP BY ALL), pw AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(p) AS w FROM b) GROUP BY ALL),
+o AS (SELECT item_id, sum(least(gw.n, pw.n)) AS k FROM gw JOIN pw USING (item_id, w) GROUP BY item_id),
+r AS (SELECT item_id, CAST(0 AS BIGINT) AS i, list_transform(range(len(g) + 1), lambda j: CAST(0 AS BIGINT)) AS best FROM b
+  UNION ALL SELECT item_id, i + 1, list_transform(range(1, len(g) + 2), lambda j: list_max(list_slice(list_transform(range(1, len(g) + 2), lambda y: CASE WHEN y > 1 AND g[y - 1] = p[i + 1] THEN best[y - 1] + 1 ELSE best[y] END), 1, j))) FROM r JOIN b USING (item_id) WHERE i < len(p))
+SELECT item_id, round(coalesce(2.0 * k / (len(p) + len(g)), 0.0), 6) AS rouge1, round(coalesce(2.0 * best[len(g) + 1] / nullif(len(p) + len(g), 0), 0.0), 6) AS rouge_l FROM b LEFT JOIN o USING (item_id) JOIN r USING (item_id) WHERE i = len(p)""")
 def rouge_scores(spark, d):
+    """Items against themselves with each two neighbouring words exchanged."""
     items = table(spark, d, "benchmark").select("item_id", "text")
-    cut = F.regexp_replace("text", r"^\S+\s+", "")
-    return items.select("item_id", F.round(metrics.rouge1(cut, F.col("text")), 6).alias("rouge1"), F.round(metrics.rouge_l(cut, F.col("text")), 6).alias("rouge_l"))
+    swapped = F.regexp_replace("text", r"(\S+)\s+(\S+)", "$2 $1")
+    return items.select("item_id", F.round(metrics.rouge1(swapped, F.col("text")), 6).alias("rouge1"), F.round(metrics.rouge_l(swapped, F.col("text")), 6).alias("rouge_l"))
 
 
 HALVES_SQL = f"{KINDS_SQL}, a AS (SELECT * FROM kinds WHERE o_orderstatus = 'F'), b AS (SELECT * FROM kinds WHERE o_orderstatus <> 'F'), p AS (SELECT classification AS label, count(*) / sum(count(*)) OVER () AS p FROM a GROUP BY 1), q AS (SELECT classification AS label, count(*) / sum(count(*)) OVER () AS q FROM b GROUP BY 1), d AS (SELECT sum(abs(coalesce(p, 0) - coalesce(q, 0))) AS l1 FROM p FULL JOIN q ON q.label = p.label)"
@@ -586,10 +660,10 @@ def modality_l1(spark, d):
     return metrics.l1(k.where("o_orderstatus = 'F'"), k.where("o_orderstatus <> 'F'"), "classification").select(F.round("l1", 6).alias("l1"), "alert")
 
 
-@query(f"{HALVES_SQL}, s AS (SELECT avg(length(text)) AS ma, stddev_pop(length(text)) AS sa FROM a), t AS (SELECT avg(length(text)) AS mb, stddev_pop(length(text)) AS sb FROM b) SELECT round(ma, 6) AS mean_a, round(sa, 6) AS std_a, round(mb, 6) AS mean_b, round(sb, 6) AS std_b, round(l1, 6) AS l1, l1 > 0.3 AS alert, round(abs(mb - ma) / (ma + 0.00000001), 6) AS mean_change FROM s, t, d")
+@query(f"{HALVES_SQL}, s AS (SELECT avg(length(text)) AS ma, stddev_pop(length(text)) AS sa, avg(CAST(classification = 'obligation' AS DOUBLE)) AS ca FROM a), t AS (SELECT avg(length(text)) AS mb, stddev_pop(length(text)) AS sb, avg(CAST(classification = 'obligation' AS DOUBLE)) AS cb FROM b) SELECT round(ma, 6) AS mean_a, round(sa, 6) AS std_a, round(mb, 6) AS mean_b, round(sb, 6) AS std_b, round(l1, 6) AS l1, l1 > 0.3 AS alert, round(abs(mb - ma) / (ma + 0.00000001), 6) AS mean_change, round(ca, 6) AS count_a, round(cb, 6) AS count_b, round(abs(cb - ca) / (ca + 0.00000001), 6) AS count_change FROM s, t, d")
 def drift_stats(spark, d):
-    k = _kinds(spark, d).withColumn("length", F.length("text"))
-    r = metrics.drift(k.where("o_orderstatus = 'F'"), k.where("o_orderstatus <> 'F'"), "length", "classification")
+    k = _kinds(spark, d).withColumn("length", F.length("text")).withColumn("obligations", (F.col("classification") == "obligation").cast("double"))
+    r = metrics.drift(k.where("o_orderstatus = 'F'"), k.where("o_orderstatus <> 'F'"), "length", "classification", "obligations")
     return r.select(*[F.round(c, 6).alias(c) if c != "alert" else F.col(c) for c in r.columns])
 
 
