@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import bridge, chunk, dedup, extract, graph, metrics, sample, search, segment, validate
 from ..sources import sinks
-from ..sources.tables import ACTS_SQL, CLAUSES_SQL, acts, clauses, metadata, table, tolerant_lines
+from ..sources.tables import ACTS_SQL, CLAUSES_SQL, acts, clauses, extracted, fetched, local_manifest, metadata, table, tolerant_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -335,6 +335,32 @@ def manifest_summary(spark, d):
     return sinks.manifest(done, failed, "/out").select(F.col("count").cast("long").alias("count"), F.col("failed_count").cast("long").alias("failed_count"), F.array_join("regulators", ",").alias("regulators"))
 
 
+@query(f"""WITH {META_SQL}, n AS (SELECT id, upper(trim(regulator)) AS regulator, CASE WHEN file_path LIKE 's3://%' THEN regexp_extract(file_path, '^s3://([^/]+)/(.+)$', 2) ELSE file_path END AS key, list_extract(string_split(replace(file_path, '\\', '/'), '/'), -1) AS n FROM meta WHERE file_path <> ''),
+f AS (SELECT *, regulator || '/' || trim(regexp_replace(CASE WHEN lower(n) LIKE '%.pdf' THEN n ELSE n || '.pdf' END, '[^A-Za-z0-9._ -]', '_', 'g'), '._ ') AS place FROM n),
+h AS (SELECT DISTINCT place FROM f WHERE id % 3 = 0) SELECT key AS s3_key, f.regulator, h.place AS local_place, CASE WHEN h.place IS NULL THEN 'not found' END AS error FROM f LEFT JOIN h ON h.place = f.place""")
+def file_fetch(spark, d):
+    """Records joined to the files that are there, which are those of every third record; and the failed ones."""
+    rows = metadata(_meta(spark, d), act_only=False)
+    files = rows.where(F.col("row_id").cast("long") % 3 == 0).select(F.concat(F.lit("/data/"), "regulator", F.lit("/"), T.safe_filename(F.col("s3_key"))).alias("path"))
+    done, failed = fetched(rows, files)
+    return done.select("s3_key", "regulator", F.replace("local_path", F.lit("/data/"), F.lit("")).alias("local_place")).unionByName(failed, allowMissingColumns=True)
+
+
+@query("SELECT s_suppkey AS id, 'Rules of ' || replace(s_name, '#', ' ') || '.v2' AS title, 'TEST_REGULATOR' AS regulator, true AS ingested FROM supplier")
+def folder_manifest(spark, d):
+    s = table(spark, d, "supplier")
+    files = s.select(F.concat(F.lit("/in/"), "s_suppkey", F.lit("/Rules_of_"), F.replace("s_name", F.lit("#"), F.lit("_")), F.lit(".v2.pdf")).alias("path"))
+    return local_manifest(files).select(F.element_at(F.split("local_path", "/"), 3).cast("long").alias("id"), "title", "regulator", "ingested")
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))[2:] AS own FROM documents)
+SELECT doc_id, len(own) AS n_pages, array_to_string(own, chr(12)) AS full_text FROM p WHERE regexp_matches(array_to_string(own, chr(12)), '\S')""")
+def page_extraction(spark, d):
+    """Lines as pages, the first of them skipped."""
+    texts = table(spark, d, "documents").select("doc_id", F.translate("text", "\n", "\f").alias("text"))
+    return extracted(texts, skip=1).select("doc_id", F.size("pages").cast("long").alias("n_pages"), "full_text")
+
+
 # -- segmentation, chunks, graph
 
 @query(f"""WITH {ACTS_SQL} SELECT DISTINCT document_id, 0 AS ord, 'chapter' AS level, '1' AS label, CAST(NULL AS VARCHAR) AS section_number, 0 AS start_offset, 'CHAPTER 1 - General' AS text FROM act_sections
@@ -457,9 +483,9 @@ def structure_contract(spark, d):
     return bridge.contract_errors(_structure(spark, d)).select("document_id", F.array_join("errors", ",").alias("errors"))
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS document_id, unnest(['part', 'clause', 'section']) AS level, unnest(['I', '(1)(b)', '2']) AS label FROM pages")
+@query("SELECT CAST(page_id AS VARCHAR) AS document_id, unnest(['part', 'clause', 'section']) AS level, unnest(['I', '(1)(b)', '2']) AS label, 'other' AS semantic_role, 0 AS start_offset, 0 AS end_offset FROM pages")
 def structure_segments(spark, d):
-    return bridge.segments(_structure(spark, d).select("document_id", F.explode("nodes").alias("n")).select("document_id", "n.*")).select("document_id", "level", "label")
+    return bridge.segments(_structure(spark, d).select("document_id", F.explode("nodes").alias("n")).select("document_id", "n.*")).select("document_id", "level", "label", "semantic_role", "start_offset", "end_offset")
 
 
 @query("WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d), s AS (SELECT doc_id, i, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(l) AS n FROM p), t AS (SELECT doc_id, length(text) // 2 AS o FROM documents) SELECT t.doc_id, o AS char_offset, max(i) + 1 AS page FROM t JOIN s ON s.doc_id = t.doc_id AND s.a <= o GROUP BY t.doc_id, o")
@@ -681,6 +707,15 @@ def upsert_last_wins(spark, d):
     return sinks.upserted(None, rows, ["id"], "seq").withColumn("zero", F.lit(0).cast("long"))
 
 
+@query("""WITH r AS (SELECT l_partkey AS id, l_orderkey AS seq, l_linenumber - 1 AS fresh FROM lineitem WHERE l_linenumber <= 2)
+  SELECT id, max(seq) AS seq, CASE WHEN max(struct_pack(s := seq, f := fresh)).f = 1 THEN 'new' ELSE 'old' END AS version FROM r GROUP BY id""")
+def upsert_into_stored(spark, d):
+    """New rows over a stored table: a key's last row by order stays, and a new row before a stored one."""
+    li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("seq"), "l_linenumber")
+    stored = li.where("l_linenumber = 1").groupBy("id").agg(F.max("seq").alias("seq")).withColumn("version", F.lit("old"))
+    return sinks.upserted(stored, li.where("l_linenumber = 2").select("id", "seq", F.lit("new").alias("version")), ["id"], "seq")
+
+
 @query("WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS s FROM q, embeddings WHERE vec_id <> query_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, round(s, 6) AS similarity FROM r WHERE rank <= 10")
 def embedding_topk(spark, d):
     """Nearest ten vectors of a stated query set (ids divisible by 50) by cosine, against all rows."""
