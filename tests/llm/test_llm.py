@@ -52,6 +52,50 @@ def test_odd_rows(spark, rows):
     assert minhash.keep_one(df).count() == n - bool(n)
 
 
+def test_values_of_odd_rows(spark):
+    """What each operator gives for nulls, empty and repeated rows and a text of over 1 MB, worked out here."""
+    import hashlib
+    import zlib
+
+    import tiktoken
+
+    long = " ".join(f"w{i * i % 9973} v{i % 4999}" for i in range(100_000))
+    assert len(long) > 1_000_000
+    rows = [*ROWS, (7, long)]
+    df, raw = odd(spark, rows), [(k, (t or "").encode()) for k, t in rows]
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+    def base_failed(w):
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        often = Counter(tri)
+        return len(w) < 50 or 100 * len({i + j for i, x in enumerate(tri) if often[x] > 1 for j in range(3)}) > 50 * len(w)
+
+    seen = quality.cascade(df, quality.plan(quality.estimate(df)), ["n_words"]).collect()
+    assert Counter((r.doc_id, r.n_words, r.base_failed) for r in seen) == Counter((k, len(t.split()), base_failed(t.split())) for k, t in raw)
+    named = langid.predict(df, langid.fit(df)).collect()
+    assert Counter((r.doc_id, r.lang_pred) for r in named) == Counter((k, "en" if t.strip() else "und") for k, t in raw)
+    assert all(0 < r.score <= 1 if r.lang_pred == "en" else r.score == 0 for r in named)
+    scored = lm_score.score(df).collect()
+    assert Counter((r.doc_id, r.n_words, r.perplexity is None) for r in scored) == Counter((k, len(t.split()), not t.split()) for k, t in raw)
+    assert len({r.score for r in scored if r.doc_id == 1}) == 1 and all(r.score == 0 for r in scored if not r.n_words)
+    found = licenses.scan(df).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in found) == Counter((k, len(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())), 0, None, None, "") for k, t in raw)
+    codec = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    ids = [(k, t, np.array(codec.encode_ordinary(t.decode()), "<u4")) for k, t in raw]
+    made = bpe.digests(bpe.encode(df, path, pattern, decoded=True), path, pattern).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in made) == Counter((k, len(x), hashlib.sha256(x.tobytes()).hexdigest(), hashlib.sha256(t).hexdigest()) for k, t, x in ids)
+    placed = sharding.number(sharding.shard(df, 7, grown=8), ["doc_id", "text_crc32", "size"]).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in placed) == Counter((k, len(t) + 16, zlib.crc32(t)) for k, t in raw)
+    assert len({(r.shard, r.grown_shard) for r in placed if r.doc_id == 1}) == 1 and all(r.grown_shard in (r.shard, 7) for r in placed)
+    slots = defaultdict(list)
+    for r in placed:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    pairs = lambda w: len({tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))}) if w else 0
+    near = minhash.near_duplicates(df, 2).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near) == Counter((k, pairs(t.lower().split()), k, True) for k, t in raw)
+
+
 def test_order_of_rules_doesnt_change_verdicts(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     a = {r.doc_id: r.kept for r in quality.cascade(df, list(quality.RULES)).collect()}
