@@ -53,9 +53,10 @@ def near_pairs(df: DataFrame, blocks: tuple[str, ...], key: str = "doc_id", text
     """Near-duplicate pairs (a, b, jaccard) within blocks, of texts that differ: MinHash bands bring texts together and exact Jaccard of
     shingle sets decides.  Equal texts are collapsed first, so a bucket holds different texts of one block only."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    grams = F.when(F.size("_w") < width, F.array(F.concat_ws(" ", "_w"))).otherwise(F.transform(F.sequence(F.lit(1), F.size("_w") - width + 1), lambda i: F.concat_ws(" ", F.slice("_w", i, width))))
+    # a shingle is hashed word by word, so its words are never joined into a string
+    grams = F.when(F.size("_w") < width, F.array(F.xxhash64(F.concat_ws(" ", "_w")))).otherwise(F.transform(F.sequence(F.lit(1), F.size("_w") - width + 1), lambda i: F.xxhash64(*[F.element_at("_w", i + j) for j in range(width)])))
     base = df.groupBy(*blocks, text).agg(F.min(key).alias("id")).withColumn("_w", words).where(F.size("_w") > 0)
-    sets = base.withColumn("grams", F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))).select(*blocks, "id", "grams")
+    sets = base.withColumn("grams", F.array_distinct(grams)).select(*blocks, "id", "grams")
     least = lambda k: F.array_min(F.transform("grams", lambda g: F.xxhash64(g, F.lit(k))))
     minima = F.array(*[least(k) for k in range(bands * rows)])
     signed = sets.withColumn("minima", minima)
