@@ -307,6 +307,20 @@ def test_suffix_query_on_planted_passages(spark, tmp_path):
         assert r.text == left.decode("utf-8", "replace")
 
 
+def test_suffix_query_takes_strings_of_400_bytes_and_no_shorter_ones(spark, tmp_path):
+    """A passage of over 50 words and 399 bytes stays in each copy, one of 400 goes from all; the operator at 200 bytes takes both."""
+    rng = random.Random(10)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    short, long = own(99)[:398] + "k", own(99)[:399] + "k"
+    assert len(short.split()) > 50
+    docs = [(k, f"{own(40)}{'ABCD'[k]}{(short, long)[k % 2]}{'EFGH'[k]}{own(40)}") for k in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.text) for r in registry.QUERIES["op5_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {k: (0, t) if k % 2 == 0 else (400, t.replace(long, "")) for k, t in docs}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(df, 200).collect()} == {0: 399, 1: 400, 2: 399, 3: 400}
+
+
 def test_a_long_text_of_one_letter(spark):
     """A text of 2 MB of one letter is one run of two rows, not a row a window."""
     docs = [(1, "x" * 2_000_000), (2, "y" * 300), (3, "x" * 500)]
